@@ -2,8 +2,9 @@
 
 from .bpe import op5_bpe
 from .chat import op1_chat_formatting
+from .html import op6_html_extraction
 from .mixing import OP3_SQL, op3_mixing
 from .tokens import op4_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_mixing, op4_token_counts, op5_bpe)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_mixing, op4_token_counts, op5_bpe, op6_html_extraction)}
 SQL = {"op3_mixing": OP3_SQL}
