@@ -5,7 +5,8 @@ from .chat import op1_chat_formatting
 from .html import op6_html_extraction
 from .mixing import OP3_SQL, op3_mixing
 from .quality import op7_quality_rules
+from .quality_model import op9_quality_classifier
 from .tokens import op4_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_mixing, op4_token_counts, op5_bpe, op6_html_extraction, op7_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_mixing, op4_token_counts, op5_bpe, op6_html_extraction, op7_quality_rules, op9_quality_classifier)}
 SQL = {"op3_mixing": OP3_SQL}
