@@ -7,6 +7,7 @@ from .mixing import OP3_SQL, op3_mixing
 from .quality import op7_quality_rules
 from .quality_model import op9_quality_classifier
 from .tokens import op4_token_counts
+from .toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_mixing, op4_token_counts, op5_bpe, op6_html_extraction, op7_quality_rules, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_mixing, op4_token_counts, op5_bpe, op6_html_extraction, op7_quality_rules, op8_toxicity, op9_quality_classifier)}
 SQL = {"op3_mixing": OP3_SQL}
