@@ -4,13 +4,16 @@
    BINS bins and the least value of each bin kept; an empty bin borrows from the first non-empty bin
    of its own fixed random order. BANDS bands of the signature make bucket keys.
 2. Documents with the same set are one node, under their smallest doc_id.
-3. In each bucket a star joins its smallest node to the others, so that a bucket of n nodes gives n - 1
-   candidates and not n^2. Candidates are confirmed on full sets, read from whole texts.
+3. In each bucket a star joins its hub (the node that shares most with other nodes over all buckets) to
+   the others, so that a bucket of n nodes gives n - 1 candidates and not n^2. Candidates are confirmed
+   on full sets, read from whole texts.
 4. Confirmed links make components (smallest label of neighbours, pointer jumping, contraction).
 5. A star can miss a link between two of its rays. Buckets that still hold several components get more
    stars, GROWTH times as many centres each round, between nodes of different components only, until
-   every pair of a bucket is in one component or has been confirmed apart. So the bands alone decide
-   what is found: a pair at 0.75 shares a bucket but for about 5 in a million cases.
+   every pair of a bucket is in one component or known to be apart. Two exact bounds tell most pairs
+   apart without a look at their texts: how much both share with the hub, and a table of SLOTS flags
+   per node (a shingle whose slot is empty in the other node is not in it). So the bands alone decide what is found: a pair at 0.75 shares a bucket but for about
+   5 in a million cases.
 
 Nothing is capped: a large group of near copies merges in the first rounds, which then leaves nothing
 to test. All tables between the steps are written to shared storage. Exchanges that carry texts or
@@ -38,7 +41,8 @@ WIDTH = 5
 PERCENT = 75
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
-GROWTH = 4
+GROWTH = 16
+SLOTS = 2048
 #: Up to so many ids (8 bytes each) are sent to all executors to pick texts; beyond that texts are dealt by id.
 BROADCAST_IDS = 500_000
 
@@ -72,15 +76,22 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def slot_flags(shingles: np.ndarray) -> np.ndarray:
+    flags = np.zeros(SLOTS, bool)
+    flags[(shingles & np.uint64(SLOTS - 1)).astype(np.int64)] = True
+    return np.packbits(flags).view(np.int64)
+
+
 def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches_of(batches, 1024):
-        sizes, prints, keys = [], [], []
+        sizes, prints, keys, slots = [], [], [], []
         for text in batch.column("text").to_pylist():
             shingles = shingle_set(text)
             sizes.append(len(shingles))
             prints.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
             keys.append(band_keys(shingles) if len(shingles) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "print", "bands"])
+            slots.append(slot_flags(shingles) if len(shingles) else None)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(slots, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "print", "bands", "slots"])
 
 
 def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,12 +110,24 @@ def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "shared", "total"])
 
 
+def possible(pairs: DataFrame, slots: DataFrame) -> DataFrame:
+    """a, b -> those that the slots do not show to be apart."""
+    a, b = (slots.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("slots").alias(f"slots_{x}")) for x in "ab")
+
+    def alone(x: str, y: str):
+        each = F.zip_with(f"slots_{x}", f"slots_{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return F.aggregate(each, F.lit(0), lambda total, k: total + k)
+
+    most = F.least(F.col("n_a") - alone("a", "b"), F.col("n_b") - alone("b", "a"))
+    return pairs.join(b, "b").join(a, "a").where(100 * most >= PERCENT * (F.col("n_a") + F.col("n_b") - most)).select("a", "b").distinct()
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b -> a, b, linked: decided on the full sets of both."""
+    """a, b -> a, b, shared, linked: counted on the full sets of both."""
     right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     counts = both.mapInArrow(_confirm, "a long, b long, shared long, total long")
-    return counts.select("a", "b", (100 * F.col("shared") >= PERCENT * F.col("total")).alias("linked"))
+    return counts.select("a", "b", "shared", (100 * F.col("shared") >= PERCENT * F.col("total")).alias("linked"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -141,31 +164,44 @@ def relabelled(labels: DataFrame, newer: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, component_id, kept; one row per row of docs."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sketches = stored(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, print binary, bands array<long>"), "near-sketches")
+    sketches = stored(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, print binary, bands array<long>, slots array<long>"), "near-sketches")
     known = sketches.where("doc_id is not null")
     nodes = known.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("node"))
     sets = stored(known.where("print is not null").select("doc_id", "print").join(nodes, "print").select("doc_id", "node").distinct(), "near-nodes")
     # one row per node: the document that it is named after; a doc_id with several texts has a row for each
-    first = sketches.join(nodes, "print").where("doc_id = node").groupBy("print").agg(F.first("node").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    first = sketches.join(nodes, "print").where("doc_id = node").groupBy("print").agg(F.first("node").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("slots").alias("slots"))
+    first = stored(first, "near-first")
     banded = stored(first.select("node", "n", F.explode("bands").alias("key")), "near-bands")
-    buckets = banded.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("centre <> last")
-    members = stored(banded.join(buckets.select("key", "centre", "size"), "key"), "near-members")
+    buckets = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    members = stored(banded.join(buckets.select("key", "size"), "key"), "near-members")
+    company = members.groupBy("node").agg(F.sum("size").alias("company"))
+    hubs = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("minus"))).alias("hub")).select("key", (-F.col("hub.minus")).alias("hub"))
+    members = stored(members.join(hubs, "key"), "near-hubs")
     wanted = stored(members.select(F.col("node").alias("doc_id")).distinct(), "near-wanted")
     picked = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
+    slots = stored(first.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, F.col("node") == F.col("doc_id"), "left_semi").select("node", "n", "slots"), "near-slots")
     texts = stored(picked.select(F.col("doc_id").alias("node"), "text").distinct(), "near-texts")
 
     # the sets of one doc_id belong together
     several = sets.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v <> w").select("doc_id", "v")
     labels = components(sets.join(several, "doc_id").select(F.col("node").alias("u"), "v"))
-    close = (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m"))
-    own = members.select("key", F.col("node").alias("c"), F.col("n").alias("m"))
-    pairs = members.join(own, (members["key"] == own["key"]) & (members["centre"] == own["c"])).where((F.col("node") != F.col("c")) & close)
+    # what two nodes can share at most, by what each shares with the hub (unknown for a hub itself: all)
+    most = F.least("s", "s_c") + F.least(F.col("n") - F.col("s"), F.col("m") - F.col("s_c"))
+    close = 100 * most >= PERCENT * (F.col("n") + F.col("m") - most)
+    pairs = members.where("node <> hub").select(F.col("hub").alias("c"), "node")
     tested = None
     centres = 1
     while True:
-        pairs = stored(pairs.select(F.col("c").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
+        pairs = pairs.select(F.col("c").alias("a"), F.col("node").alias("b")).distinct()
+        pairs = stored(pairs if centres == 1 else possible(pairs, slots), "near-pairs")
+        if pairs.isEmpty() and centres == 1:
+            break
         if not pairs.isEmpty():
             decided = stored(confirmed(pairs, texts), "near-decided")
+            if centres == 1:
+                shares = decided.groupBy("a", "b").agg(F.max("shared").alias("s"))
+                shares = shares.select(F.col("a").alias("hub"), F.col("b").alias("node"), "s")
+                members = stored(members.join(shares, ["hub", "node"], "left").withColumn("s", F.coalesce("s", "n")), "near-shares")
             apart = decided.groupBy("a", "b").agg(F.max("linked").alias("linked")).where("not linked").select("a", "b")
             tested = apart if tested is None else tested.union(apart)
             new = decided.where("linked").select("a", "b")
@@ -175,7 +211,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             merged = components(new.select(F.coalesce("to_a", "a").alias("u"), F.coalesce("to_b", "b").alias("v")))
             labels = stored(relabelled(labels, merged).union(merged.join(labels, "node", "left_anti")), "near-labels")
         # buckets that still hold several components
-        labelled = members.join(labels, "node", "left").select("key", "size", "node", "n", F.coalesce("label", "node").alias("label"))
+        labelled = members.join(labels, "node", "left").select("key", "size", "node", "n", "s", F.coalesce("label", "node").alias("label"))
         left = labelled.where(F.col("size") > max(2, centres))  # all pairs of smaller ones have been tested
         mixed_buckets = left.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
         members_left = stored(left.join(mixed_buckets, "key", "left_semi"), "near-left")
@@ -185,7 +221,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         place = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 20)) / float(1 << 20)
         placed = members_left.withColumn("place", place * F.col("size"))
         chosen = placed.where((F.col("place") < centres * GROWTH) | (F.col("size") <= centres * GROWTH))
-        chosen = chosen.select("key", F.col("node").alias("c"), F.col("n").alias("m"), F.col("label").alias("label_c"), F.col("place").alias("place_c"))
+        chosen = chosen.select("key", F.col("node").alias("c"), F.col("n").alias("m"), F.col("s").alias("s_c"), F.col("label").alias("label_c"), F.col("place").alias("place_c"))
         pairs = placed.join(chosen, "key").where((F.col("label") != F.col("label_c")) & close)
         if centres > 1:  # those with an earlier centre were tested in its round
             pairs = pairs.where(F.least("place", "place_c") >= centres)
