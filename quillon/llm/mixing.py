@@ -29,6 +29,8 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 CELL_ROWS = 4096
 SEED = "mix-1"
+#: Copies of up to so many ids (16 bytes each) are sent to all executors; beyond that texts are dealt by id.
+BROADCAST_IDS = 500_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -98,25 +100,24 @@ def mix_sized(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
 def emitted(docs: DataFrame, **parameters) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with all its columns.
 
-    Rows with a null doc_id cannot be told apart and are left out.
+    Rows that repeat an id, or have none, share the copies of their id: the first ones in a fixed order
+    get the remainder.
     """
-    copies = mix(docs, **parameters).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    per_row = copies.groupBy("__id").agg(F.sum("__copies").alias("__copies"))
-    rows = docs.groupBy(F.col("doc_id").alias("__row_id")).agg(F.count(F.lit(1)).alias("__rows"))
-    # repeated rows share what their doc_id was given: the first ones get the remainder
-    per_row = per_row.join(rows, F.col("__id") == F.col("__row_id")).select("__id", "__copies", "__rows")
-    once = per_row.where("__rows = 1").select("__id", "__copies")
-    many = per_row.where("__rows > 1")
-    out = docs.join(once, F.col("doc_id") == F.col("__id"), "inner")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])))
-    repeated = (
-        docs.join(many, F.col("doc_id") == F.col("__id"), "inner")
-        .withColumn("__place", place)
-        .withColumn("__copies", F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.col("__place") <= F.col("__copies") % F.col("__rows"), 1).otherwise(0))
-        .where("__copies > 0")
-    )
-    both = out.select(*docs.columns, "__copies").unionByName(repeated.select(*docs.columns, "__copies"))
-    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies").cast("long"))).alias("__nth")).drop("__nth")
+    per_id = mix(docs, **parameters).groupBy(F.col("doc_id").alias("__id")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    per_id = stored(per_id.where("__copies > 0"), "mix-copies")
+    few = per_id.count() <= BROADCAST_IDS
+    packed = docs.select(F.col("doc_id").alias("__doc_id"), F.struct(*docs.columns).alias("__row"))
+
+    def joined(copies: DataFrame) -> DataFrame:
+        return packed.join(F.broadcast(copies) if few else copies, F.col("__doc_id").eqNullSafe(F.col("__id")))
+
+    out = joined(per_id.where("__rows = 1")).select("__row", "__copies")
+    repeated = per_id.where("__rows > 1")
+    if not repeated.isEmpty():
+        place = F.row_number().over(Window.partitionBy("__doc_id").orderBy(F.xxhash64("__row"), "__row"))
+        own = F.floor(F.col("__copies") / F.col("__rows")) + F.when(place <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
+        out = out.union(joined(repeated).select("__row", own.alias("__copies")))
+    return out.where("__copies > 0").select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies").cast("long")))).select("__row.*")
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

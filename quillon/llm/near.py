@@ -236,5 +236,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return placed.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def filtered(docs: DataFrame) -> DataFrame:
+    """One row of each group of near duplicates, with its columns as they are; rows without an id stay.
+
+    Of rows that repeat an id one stays, chosen by a hash of all its columns.
+    """
+    found = stored(near_duplicates(docs).groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "near-found")
+    gone = found.where("not kept").select(F.col("doc_id").alias("__gone"))
+    few = gone.count() <= BROADCAST_IDS
+    rest = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    again = found.where("rows > 1 and kept and doc_id is not null").select(F.col("doc_id").alias("__again"))
+    if again.isEmpty():
+        return rest
+    once = rest.join(again, F.col("doc_id") == F.col("__again"), "left_anti")
+    packed = rest.join(again, F.col("doc_id") == F.col("__again"), "left_semi").select("doc_id", F.struct(*docs.columns).alias("row"))
+    picked = packed.groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.struct(F.xxhash64("row").alias("h"), "row")).alias("least")).select("least.row.*")
+    return once.unionByName(picked)
+
+
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))

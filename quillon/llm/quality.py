@@ -42,6 +42,8 @@ H = 0.75
 STEPS = 4
 MIN_GROUP = 200
 TAIL = 1e-8
+#: Estimates (about 300 bytes) of up to so many pairs of language and source are sent to all executors.
+BROADCAST_KEYS = 50_000
 
 
 def chi_square_cdf(x: float, degrees: int) -> float:
@@ -78,6 +80,18 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     return docs.select(*columns).mapInArrow(count, "doc_id long, lang string, source string, " + ", ".join(f"{b} long" for b in BASE))
 
 
+def with_statistics(docs: DataFrame, prefix: str) -> DataFrame:
+    """All columns of docs as they are, and BASE under prefixed names: row by row, so texts do not move."""
+    schema = docs.select(*docs.columns, *(F.lit(0).cast("long").alias(prefix + b) for b in BASE)).schema
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches, 1024):
+            rows = np.array([statistics(t, more=False) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, len(BASE))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(rows[:, k]) for k in range(len(BASE)))], names=[*batch.schema.names, *(prefix + b for b in BASE)])
+
+    return docs.mapInArrow(count, schema)
+
+
 def with_vector(stats: DataFrame) -> DataFrame:
     n, prior = F.col("n_words"), 50
     return stats.withColumns(
@@ -153,8 +167,8 @@ def robust_estimates(rows: DataFrame, steps: int = STEPS, h: float = H) -> DataF
     return estimates
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, text -> doc_id, BASE, base_failed, distance (squared), kept."""
+def fitted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The statistics of docs with their groups, and the estimates of the groups."""
     stats = stored(text_statistics(docs), "quality-stats")
     rows = _grouped(with_vector(stats))
     good = rows.where(~F.col("base_failed")).select("lang", "grp", *NAMES)
@@ -162,10 +176,35 @@ def judge(docs: DataFrame) -> DataFrame:
     lang_key = F.concat(F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")), F.lit("/*"))
     wanted = stored(good.select("grp").distinct(), "quality-groups")
     levels = good.select(F.explode(F.array_distinct(F.array("grp", lang_key, F.lit("*")))).alias("grp"), *NAMES)
-    estimates = robust_estimates(levels.join(wanted, "grp", "left_semi"))
+    return rows, robust_estimates(levels.join(wanted, "grp", "left_semi"))
+
+
+def _kept():
+    return ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, source, text -> doc_id, BASE, base_failed, distance (squared), kept."""
+    rows, estimates = fitted(docs)
     judged = rows.join(estimates, "grp", "left").withColumn("distance", _distance())
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)
-    return judged.select("doc_id", *BASE, "base_failed", "distance", kept.alias("kept"))
+    return judged.select("doc_id", *BASE, "base_failed", "distance", _kept().alias("kept"))
+
+
+def filtered(docs: DataFrame) -> DataFrame:
+    """The rows of docs that judge() keeps, with their columns as they are.
+
+    Statistics are counted a second time beside the texts, which costs less than to move texts by id,
+    and holds for rows without an id of their own.
+    """
+    rows, estimates = fitted(docs)
+    by_key = stored(rows.select("lang", "source", "grp").distinct().join(estimates, "grp", "left"), "quality-estimates")
+    by_key = by_key.select(F.col("lang").alias("q_lang"), F.col("source").alias("q_source"), "center", "inverse")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    counted = with_vector(with_statistics(packed, ""))
+    same = F.col("lang").eqNullSafe(F.col("q_lang")) & F.col("source").eqNullSafe(F.col("q_source"))
+    n_keys = by_key.count()
+    judged = counted.join(F.broadcast(by_key) if n_keys <= BROADCAST_KEYS else by_key, same, "left").withColumn("distance", _distance())
+    return judged.where(_kept()).select("row.*")
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ from .common import batches_of, read_table
 from .labelled import fold_of, training_texts
 
 MODULUS, HELD_OUT = 4, 2
-PER_CLASS = 2500
+PER_CLASS = 1500
 THRESHOLD = 0.3
 LANDMARKS = 192
 NEGATIVES = 12_000
@@ -209,9 +209,10 @@ def _groups(words: set[str]) -> dict[int, list[str]]:
 
 def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS) -> Model:
     """Deterministic for the order of the examples."""
-    sentences = [[words for s in _sentence.split(t) if (words := words_of(s))] or [words_of(t)] for t in texts]
-    toxic = [x for x, y in zip(sentences, labels, strict=True) if y]
-    clean = [set().union(*x) for x, y in zip(sentences, labels, strict=True) if not y]
+    same: dict[str, str] = {}  # each word is held once
+    shared = lambda words: {same.setdefault(w, w) for w in words}
+    toxic = [[shared(words) for s in _sentence.split(t) if (words := words_of(s))] or [shared(words_of(t))] for t, y in zip(texts, labels, strict=True) if y]
+    clean = [shared(words_of(t)) for t, y in zip(texts, labels, strict=True) if not y]
     prior = (len(toxic) + 0.5) / (len(texts) + 1)
     if not toxic or not clean:
         return Model(np.zeros(DIMENSIONS), 0.0, np.array([0.0, 0.0, np.log(prior / (1 - prior))]))
@@ -258,9 +259,8 @@ def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS) -> Model:
     model = Model(weight, bias, np.zeros(3))
     everything = sorted(known_clean | {w for x in toxic for s in x for w in s})
     score = dict(zip(everything, model.words(everything).tolist(), strict=True))
-    top = np.array([highest_words([score[w] for w in set().union(*x)]) for x in sentences])
-    y = np.array(labels, float)
-    return Model(weight, bias, _logistic(top, y))
+    top = np.array([highest_words([score[w] for w in words]) for words in [set().union(*x) for x in toxic] + clean])
+    return Model(weight, bias, _logistic(top, np.array([1.0] * len(toxic) + [0.0] * len(clean))))
 
 
 def _logistic(top: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -286,25 +286,41 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, held_out:
     return fit(sample["text"].tolist(), sample["y"].tolist())
 
 
+def _scores(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    known: dict[str, float] = {}
+    for batch in batches_of(batches, 256):
+        documents = [words_of(t or "") for t in batch.column("text").to_pylist()]
+        if len(known) > CACHE_WORDS:
+            known = {}
+        if new := sorted(set().union(*documents).difference(known)):
+            known.update(zip(new, model.words(new).tolist(), strict=True))
+        yield batch, model.probability(np.array([highest_words([known[w] for w in words]) for words in documents]).reshape(-1, 2))
+
+
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text -> doc_id, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: one weight per subsequence
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, {}
-        for batch in batches_of(batches, 256):
-            documents = [words_of(t or "") for t in batch.column("text").to_pylist()]
-            if len(known) > CACHE_WORDS:
-                known = {}
-            if new := sorted(set().union(*documents).difference(known)):
-                known.update(zip(new, model.words(new).tolist(), strict=True))
-            top = np.array([highest_words([known[w] for w in words]) for words in documents]).reshape(-1, 2)
-            p = model.probability(top)
+        for batch, p in _scores(batches, shared.value):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scored, "doc_id long, score double, predicted int")
 
 
+def filtered(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below the threshold, with their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, p in _scores(batches, shared.value):
+            kept = batch.filter(pa.array(p < threshold))
+            yield pa.RecordBatch.from_arrays(kept.columns[:1], names=["row"])
+
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    return packed.mapInArrow(clean, packed.select("row").schema).select("row.*")
+
+
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = train(docs, read_table(spark, sf_dir, "labels"))
