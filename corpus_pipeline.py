@@ -1,27 +1,46 @@
-"""A corpus pipeline of five stages over documents, each a call of one operator of quillon.llm."""
+"""A corpus pipeline of five stages over documents, each a call of one operator of quillon.llm.
+
+A stage gets what its predecessor kept and returns the columns of documents, but for the last one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm.bpe import encode_decode
+from quillon.llm import bpe, mixing, near, quality, toxicity
 from quillon.llm.common import read_table, stored
-from quillon.llm.mixing import emitted
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.filtered(docs)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold. The model is fitted on labelled documents of the input
+    folder, not on what is left of them: what quality rules reject may still be labelled."""
+    model = toxicity.train(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return toxicity.filtered(docs, model)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near.filtered(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return emitted(docs)
+    return mixing.emitted(docs)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts, one row per document of the mix."""
-    return encode_decode(docs)
+    return bpe.encode_decode(docs)
 
 
-STAGES = [("mixing", mix_stage), ("bpe", encode_stage)]
+STAGES = [("quality rules", quality_stage), ("toxicity", toxicity_stage), ("near duplicates", near_stage), ("mixing", mix_stage), ("bpe", encode_stage)]
 
-#: SQL has no trained classifiers and no subword encoding.
+#: SQL has no trained classifiers and no subword encoding; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
@@ -31,5 +50,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{name}")
+            docs = stored(docs, "pipeline-" + name.replace(" ", "-"))
     return docs
