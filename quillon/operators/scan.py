@@ -8,6 +8,7 @@ Offsets are in code points, from 0, end exclusive.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,27 +21,31 @@ from quillon.operators.rules import Rule
 FINDING = "struct<rule_id:string,category:string,start:int,end:int,value:string,score:double>"
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<start,end,value>> of a pattern's matches; of a group if one is named (empty ones left out)."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+def sql_text(v: str) -> str:
+    """A string as an SQL literal."""
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["gap"])
-        return F.struct((begin + F.length(pair["whole"])).alias("at"), F.concat(acc["starts"], F.array(begin)).alias("starts"))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), whole, lambda g, w: F.struct(F.coalesce(g, F.lit("")).alias("gap"), F.coalesce(w, F.lit("")).alias("whole")))
-    starts = F.aggregate(pairs, start, step, lambda acc: acc["starts"])
-    if group:
-        captured = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-        found = F.transform(whole, lambda w, i: F.struct(w.alias("whole"), F.get(captured, i).alias("value"), F.get(starts, i).alias("at")))
-        found = F.filter(found, lambda m: F.length(m["value"]) > 0)
-        # the last occurrence within the match: labels come before their values
-        after = lambda m: F.length(F.call_function("substring_index", m["whole"], m["value"], F.lit(-1)))
-        begin = lambda m: m["at"] + F.length(m["whole"]) - after(m) - F.length(m["value"])
-        return F.transform(found, lambda m: F.struct(begin(m).alias("start"), (begin(m) + F.length(m["value"])).alias("end"), m["value"].alias("value")))
-    return F.transform(whole, lambda w, i: F.struct(F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(w)).alias("end"), w.alias("value")))
+def matches_sql(text: str, pattern: str, group: int = 0) -> str:
+    """array<struct<start,end,value>> of a pattern's matches in an SQL expression; of a group if one is named
+    (empty ones are left out). One fold over the matches and the gaps before them.
+
+    A label comes before its value, so a group's place is its last one in the match.
+    """
+    p = sql_text(pattern)
+    whole = f"regexp_extract_all({text}, {p}, 0)"
+    value = f"regexp_extract_all({text}, {p}, {group})" if group else whole
+    found = f"zip_with({whole}, {value}, (w, v) -> named_struct('w', w, 'v', v))"
+    pairs = f"zip_with(slice(split({text}, {p}, -1), 1, size({whole})), {found}, (g, f) -> named_struct('g', coalesce(length(g), 0), 'w', f.w, 'v', f.v))"
+    inside = "length(x.w) - length(substring_index(x.w, x.v, -1)) - length(x.v)" if group else "0"
+    start = f"acc.at + x.g + {inside}"
+    one = f"array(named_struct('start', {start}, 'end', {start} + length(x.v), 'value', x.v))"
+    empty = "cast(array() as array<struct<start:int,end:int,value:string>>)"
+    return f"aggregate({pairs}, named_struct('at', 0, 'out', {empty}), (acc, x) -> named_struct('at', acc.at + x.g + length(x.w), 'out', concat(acc.out, if(length(x.v) > 0, {one}, {empty}))), acc -> acc.out)"
+
+
+def matches(text: str, pattern: str, group: int = 0) -> Column:
+    return F.expr(matches_sql(text, pattern, group))
 
 
 def near_words(text: Column, m: Column, window: int) -> Column:
@@ -70,35 +75,35 @@ def shaped_as_secret(value: Column) -> Column:
     return ~T.is_placeholder(value) & ~T.is_not_secret_shaped(value) & ~T.is_code_identifier(value) & ~value.rlike(r"\(.*\)|^\w+\[|=>")
 
 
-def rule_findings(text: Column, rule: Rule) -> Column:
-    """array<FINDING> of one rule. Gates run in the order shape, entropy, validator, context."""
-    found = matches(text, rule.pattern, rule.group)
-
-    def passes(m: Column) -> Column:
-        ok = F.length(m["value"]) > 0
-        if rule.category == "secret" and rule.group:
-            ok = ok & shaped_as_secret(m["value"])
-        if rule.min_entropy:
-            ok = ok & (T.entropy(m["value"]) >= rule.min_entropy)
-        if rule.validator:
-            ok = ok & validator(rule.validator)(m["value"])
-        if rule.category == "pii":
-            ok = ok & (F.length(m["value"]) >= 3)
-        if rule.context:
-            ok = ok & has_near_word(text, m, rule.context, rule.window)
-        if rule.excluded:
-            ok = ok & ~has_near_word(text, m, rule.excluded, rule.window)
-        return ok
-
-    score = F.lit(1.0) if rule.context else F.lit(0.4)
-    rows = F.transform(F.filter(found, passes), lambda m: F.struct(F.lit(rule.id).alias("rule_id"), F.lit(rule.category).alias("category"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), score.alias("score")))
-    worth = F.contains(text, F.lit(rule.hint)) if rule.hint else text.rlike(rule.pattern)
-    return F.when(worth, rows).otherwise(F.array().cast(f"array<{FINDING}>"))
+def rule_findings(name: str, rule: Rule) -> Column:
+    """array<FINDING> of one rule in the column of that name. Gates run in the order shape, entropy, validator,
+    context. Rules without gates are one SQL expression, as Column objects are slow to build by the hundred."""
+    quoted, text = f"`{name}`", F.col(name)
+    found = matches_sql(quoted, rule.pattern, rule.group)
+    gates = []
+    if rule.category == "secret" and rule.group:
+        gates.append(lambda m: shaped_as_secret(m["value"]))
+    if rule.min_entropy:
+        gates.append(lambda m: T.entropy(m["value"]) >= rule.min_entropy)
+    if rule.validator:
+        gates.append(lambda m: validator(rule.validator)(m["value"]))
+    if rule.context:
+        gates.append(lambda m: has_near_word(text, m, rule.context, rule.window))
+    if rule.excluded:
+        gates.append(lambda m: ~has_near_word(text, m, rule.excluded, rule.window))
+    long = f"filter({found}, m -> length(m.value) >= {3 if rule.category == 'pii' else 1})"
+    score = 1.0 if rule.context else 0.4
+    row = f"m -> named_struct('rule_id', {sql_text(rule.id)}, 'category', '{rule.category}', 'start', m.start, 'end', m.end, 'value', m.value, 'score', cast({score} as double))"
+    rows = F.expr(f"transform({long}, {row})")
+    if gates:
+        rows = F.filter(rows, lambda m: functools.reduce(lambda a, b: a & b, [g(m) for g in gates]))
+    worth = f"contains({quoted}, {sql_text(rule.hint)})" if rule.hint else f"{quoted} rlike {sql_text(rule.pattern)}"
+    return F.when(F.expr(worth), rows).otherwise(F.expr(f"cast(array() as array<{FINDING}>)"))
 
 
 def scan(rows: DataFrame, rules: Iterable[Rule], text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keys, text -> keys and one row per finding."""
-    found = [rule_findings(F.col(text), r) for r in rules]
+    found = [rule_findings(text, r) for r in rules]
     per_text = rows.where(F.col(text).isNotNull()).select(*keys, F.explode(F.flatten(F.array(*found))).alias("finding"))
     return per_text.select(*keys, "finding.*")
 
@@ -143,7 +148,7 @@ def respelled(rows: DataFrame, names: DataFrame, text: str = "text", keys: tuple
 
 def watched(rows: DataFrame, terms: list[str], text: str = "text", keys: tuple[str, ...] = ("doc_id",), per_term: int = 3, per_row: int = 20) -> DataFrame:
     """Where watch terms (any case) stand: at most per_term places of a term and per_row in all, as reported."""
-    low = F.lower(F.col(text))
+    low = f"lower(`{text}`)"
 
     def places(term: str) -> Column:
         return F.transform(F.slice(matches(low, _literal(term.lower())), 1, per_term), lambda m: F.struct(F.lit(term).alias("term"), m["start"].alias("start")))

@@ -9,6 +9,7 @@ from quillon.functions import text as T
 from quillon.functions import validators as V
 from quillon.operators import scan, spans, standins
 from quillon.operators.rules import DEFAULT_RULES, Rule
+from quillon.session import stored
 
 RULES = {r.id: r for r in DEFAULT_RULES}
 QUERIES: dict = {}
@@ -195,7 +196,7 @@ SELECT d.doc_id, sha256(regexp_replace(text, {_quoted(RULES["pii-phone-us"].patt
 def redaction_all_rules(spark, sf_dir):
     """Whole redaction: all rules, propagation, union, representatives, stand-ins, rendering."""
     docs = table(spark, sf_dir, "documents")
-    found = spans.propagated(scan.scan(docs, DEFAULT_RULES), docs)
+    found = spans.propagated(stored(scan.scan(docs, DEFAULT_RULES), "findings"), docs)
     reps = spans.representatives(found)
     kind = standins.kind_of(F.col("category"), F.col("rule_id"))
     done = spans.render(docs, spans.edits(reps, standins.stand_in(kind, F.col("value"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -26,3 +26,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
             _own.append(tempfile.mkdtemp(prefix="quillon-"))
         base = _own[0]
     return f"{base.rstrip('/')}/quillon/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df below the shared folder and read it again: what several steps read is worked out once."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
