@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.operators import hidden as H
+from quillon.operators import inventory as I
+from quillon.operators import simulation as S
 from quillon.operators import spans
+from quillon.operators import withhold as WH
 from quillon.plans.detection import table
 from quillon.session import shared_path
 from quillon.sources import wire as W
@@ -156,3 +159,53 @@ def stream_running_stats(spark, sf_dir):
 def stream_first_seen(spark, sf_dir):
     source = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
     return R.run_complete(R.first_seen(source.select("text", F.col("doc_id").alias("seq"))), shared_path(spark, "stream-seen"))
+
+
+@query("infrastructure_hosts", "SELECT 'n' || CAST(s_nationkey AS VARCHAR) AS source, 'host' AS kind, lower(replace(s_name, '#', '-')) || '.corp' AS literal FROM supplier UNION SELECT 'n' || CAST(s_nationkey AS VARCHAR), 'host', lower(replace(s_name, '#', '-')) FROM supplier")
+def infrastructure_hosts(spark, sf_dir):
+    """SSH configurations made from suppliers: their hosts and short names."""
+    host = F.concat(F.lower(F.translate("s_name", "#", "-")), F.lit(".corp"))
+    files = table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("source"), F.concat(F.lit("Host *\nHost github.com\n  HostName "), host, F.lit("\n")).alias("text"))
+    return I.infrastructure(I.ssh_hosts(files), 1000)
+
+
+@query("inventory_merge", "WITH b AS (SELECT lower(p_brand) AS key, p_brand AS literal, 0 AS age FROM part UNION ALL SELECT lower(p_type), p_type, 1 FROM part) SELECT key, min(age) AS age FROM b GROUP BY key")
+def inventory_merge(spark, sf_dir):
+    rows = lambda c: table(spark, sf_dir, "part").select(F.lit(c).alias("id"), F.col(c).alias("literal"), F.lit(False).alias("case_sensitive"), F.lit(c).alias("source"))
+    return I.merged(rows("p_brand"), rows("p_type"), 10**6).select(F.lower("literal").alias("key"), F.when(F.col("source") == "p_brand", 0).otherwise(1).alias("age"))
+
+
+@query("withheld_lines", "SELECT doc_id, CAST(2 AS BIGINT) AS n_withheld FROM documents")
+def withheld_lines(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("src/a.py:x\nconf/.env:KEY=1\n\nkeys/id_rsa\nline of it\n\nother "), F.col("doc_id").cast("string")).alias("text"))
+    return WH.withhold_lines(docs).select("doc_id", "n_withheld")
+
+
+@query("marker_boundaries", "SELECT conv_id, max(turn) AS pos FROM conversations WHERE role = 'user' AND turn <= 3 GROUP BY conv_id UNION SELECT conv_id, max(turn) FROM conversations WHERE role = 'user' AND turn <= 1 GROUP BY conv_id")
+def marker_boundaries(spark, sf_dir):
+    items = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), (F.col("role") == "user").alias("markable"))
+    wanted = items.select("conv_id").distinct().select("conv_id", F.explode(F.array(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("at"))
+    return WH.mark_boundaries(items, wanted)
+
+
+@query("requests_of_sessions", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, turn - 1 AS upto FROM conversations WHERE role = 'assistant'")
+def requests_of_sessions(spark, sf_dir):
+    return S.requests_of(table(spark, sf_dir, "conversations"))
+
+
+@query("shaping_costs")
+def shaping_costs(spark, sf_dir):
+    """Costs of simulated conversations for several step sizes."""
+    rounds = S.conversations(spark, 20, 300)
+    frames = [S.shaped_costs(rounds, step).withColumn("step", F.lit(step)) for step in (10, 15, 20, 30)]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
+
+
+@query("canaries")
+def canaries(spark, sf_dir):
+    """Canaries of every kind, one for each benchmark passage."""
+    kinds = F.explode(F.array(*[F.lit(k) for k in S.CANARY_KINDS])).alias("kind")
+    return table(spark, sf_dir, "benchmark").select("item_id", kinds).select("item_id", "kind", S.canary(F.col("kind"), F.col("item_id")).alias("value"))

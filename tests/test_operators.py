@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.functions import validators as V
-from quillon.operators import compaction, conversations, guards, hidden, rules, scan, spans, standins
+from quillon.operators import compaction, conversations, guards, hidden, inventory, rules, scan, simulation, spans, standins, withhold
 from quillon.streaming import rewrite
 
 
@@ -147,3 +147,41 @@ def test_held_text():
     assert rewrite.released("tw", "o", True) == ("two", "")
     out, held = rewrite.released("", "x" * 600, False)
     assert (len(out), len(held)) == (440, 160)
+
+
+def test_inventory_sources(spark):
+    files = spark.createDataFrame([("s", "[user]\n  name = Ada Byte\n  email = ada@corp.net\n"), ("r", "search corp.lan\n127.0.0.1 localhost\n10.0.0.1 db1.corp.lan db1\n")], "source string, text string")
+    assert sorted(r.literal for r in inventory.git_identities(files).collect()) == ["Ada Byte", "ada@corp.net"]
+    assert sorted(r.literal for r in inventory.network_hosts(files).collect()) == ["corp.lan", "db1", "db1.corp.lan"]
+
+
+def test_minted_standins_do_not_collide(spark):
+    pairs = spark.createDataFrame([("k", "a", "x"), ("k", "b", "x"), ("k", "c", "y"), ("k", "d", "z")], "kind string, value string, stand_in string")
+    got = {r.value: r.stand_in for r in inventory.minted(pairs, spark.createDataFrame([("y",)], "word string")).collect()}
+    assert got == {"a": "x", "b": "x2", "c": "y1", "d": "z"}
+
+
+def test_spellings(spark):
+    assert value(spark, inventory.spelled, "aé") == [["\\x61\\xc3\\xa9", "%61%C3%A9", "\\141\\303\\251", "\\u0061\\u00e9", "0x61, 0xc3, 0xa9"]]
+
+
+def test_withheld_reads_and_images(spark):
+    results = spark.createDataFrame([(1, "KEY=1"), (2, "text")], "call_id int, text string")
+    calls = spark.createDataFrame([(1, "/x/.env"), (2, "/x/readme")], "call_id int, path string")
+    assert {r.call_id: r.text for r in withhold.withhold_secret_reads(results, calls).collect()} == {1: withhold.NOTICE, 2: "text"}
+    items = spark.createDataFrame([(1, 0, "user", ["images"], False, "a"), (1, 1, "tool", [], True, "i"), (1, 2, "user", [], False, "b"), (1, 3, "tool", [], True, "j")], "conv_id int, turn int, role string, allow_tags array<string>, is_image boolean, text string")
+    assert [r.text for r in withhold.withhold_images(items).orderBy("turn").collect()] == ["a", "i", "b", withhold.IMAGE_NOTICE]
+
+
+def test_titles(spark):
+    assert value(spark, withhold.title_from, '{"title": " My  title "}', "First line\nsecond") == ["My title", "First line"]
+    assert value(spark, withhold.renamed_in, "/rename one\nx\n/rename two", "none") == ["two", None]
+
+
+def test_smallest_failing():
+    assert simulation.smallest_failing(list(range(40)), lambda x: 7 in x and 31 in x) == [7, 31]
+
+
+def test_shaping_saves(spark):
+    got = simulation.shaped_costs(simulation.conversations(spark, 3, 200), 10).collect()
+    assert all(r.cost_on < r.cost_off and r.largest_on < r.largest_off for r in got)
