@@ -8,11 +8,13 @@
    the others, so that a bucket of n nodes gives n - 1 candidates and not n^2. Candidates are confirmed
    on full sets, read from whole texts.
 4. Confirmed links make components (smallest label of neighbours, pointer jumping, contraction).
-5. A star can miss a link between two of its rays. Buckets that still hold several components get more
-   stars, GROWTH times as many centres each round, between nodes of different components only, until
+5. A star can miss a link between two of its rays. Of the nodes in buckets that still hold several
+   components, those that share under three quarters of their shingles with such nodes outside their own
+   component cannot link with any and are done. Buckets with several components among the rest get more stars, GROWTH times as many centres each round, between nodes of different components only, until
    every pair of a bucket is in one component or known to be apart. Two exact bounds tell most pairs
-   apart without a look at their texts: how much both share with the hub, and a table of SLOTS flags
-   per node (a shingle whose slot is empty in the other node is not in it). So the bands alone decide what is found: a pair at 0.75 shares a bucket but for about
+   apart without a look at their texts: what both share with the hub, what of the rest is not their own,
+   and what of all is not their component's own; and a table of SLOTS flags per node (a shingle whose
+   slot is empty in the other node is not in it). So the bands alone decide what is found: a pair at 0.75 shares a bucket but for about
    5 in a million cases.
 
 Nothing is capped: a large group of near copies merges in the first rounds, which then leaves nothing
@@ -110,16 +112,29 @@ def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "shared", "total"])
 
 
-def possible(pairs: DataFrame, slots: DataFrame) -> DataFrame:
-    """a, b -> those that the slots do not show to be apart."""
-    a, b = (slots.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("slots").alias(f"slots_{x}")) for x in "ab")
+def _common_flags(x: str, y: str):
+    each = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(q)))
+    return F.aggregate(each, F.lit(0), lambda total, k: total + k)
 
-    def alone(x: str, y: str):
-        each = F.zip_with(f"slots_{x}", f"slots_{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
-        return F.aggregate(each, F.lit(0), lambda total, k: total + k)
 
-    most = F.least(F.col("n_a") - alone("a", "b"), F.col("n_b") - alone("b", "a"))
-    return pairs.join(b, "b").join(a, "a").where(100 * most >= PERCENT * (F.col("n_a") + F.col("n_b") - most)).select("a", "b").distinct()
+def _explode_shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches_of(batches, 256):
+        sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
+        nodes = np.repeat(batch.column("node").to_numpy(), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], names=["node", "shingle"])
+
+
+def own_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, label -> node, own, within: how many shingles of a node no other node has, and how many no node
+    outside its component has. Counts per shingle are pre-aggregated, whatever the groups are; they stay
+    true when components merge. Nodes with several texts are left out."""
+    rows = texts.join(nodes, "node", "left_semi")
+    single = rows.groupBy("node").agg(F.count(F.lit(1)).alias("texts")).where("texts = 1").select("node")
+    shingles = rows.mapInArrow(_explode_shingles, "node long, shingle long").join(nodes, "node")
+    holders = shingles.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min("label").alias("l"), F.max("label").alias("h"))
+    closed = holders.where("l = h").select("shingle", (F.col("low") == F.col("high")).alias("alone"))
+    counted = shingles.join(closed, "shingle").groupBy("node").agg(F.count_if("alone").alias("own"), F.count(F.lit(1)).alias("within"))
+    return counted.join(single, "node", "left_semi")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -176,7 +191,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stored(banded.join(buckets.select("key", "size"), "key"), "near-members")
     company = members.groupBy("node").agg(F.sum("size").alias("company"))
     hubs = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("minus"))).alias("hub")).select("key", (-F.col("hub.minus")).alias("hub"))
-    members = stored(members.join(hubs, "key"), "near-hubs")
+    # a doc_id with several texts has no set of its own to bound what it shares
+    multi = stored(first.groupBy("node").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("node"), "near-multi")
+    own_loose = multi.select("node", F.lit(True).alias("loose_node"))
+    hub_loose = multi.select(F.col("node").alias("hub"), F.lit(True).alias("loose_hub"))
+    members = members.join(hubs, "key").join(own_loose, "node", "left").join(hub_loose, "hub", "left")
+    members = stored(members.withColumn("loose", F.col("loose_node").isNotNull() | F.col("loose_hub").isNotNull()).drop("loose_node", "loose_hub"), "near-hubs")
     wanted = stored(members.select(F.col("node").alias("doc_id")).distinct(), "near-wanted")
     picked = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
     slots = stored(first.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, F.col("node") == F.col("doc_id"), "left_semi").select("node", "n", "slots"), "near-slots")
@@ -185,15 +205,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # the sets of one doc_id belong together
     several = sets.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v <> w").select("doc_id", "v")
     labels = components(sets.join(several, "doc_id").select(F.col("node").alias("u"), "v"))
-    # what two nodes can share at most, by what each shares with the hub (unknown for a hub itself: all)
-    most = F.least("s", "s_c") + F.least(F.col("n") - F.col("s"), F.col("m") - F.col("s_c"))
+    # what two nodes can share at most: within the hub, and outside it of what is not their own
+    most = F.least(F.least("s", "s_c") + F.least("rest", "rest_c"), F.col("open"), F.col("open_c"))
     close = 100 * most >= PERCENT * (F.col("n") + F.col("m") - most)
+    # a node's flags that the other one has not are so many shingles, or more, that it has not
+    flagged = F.least(F.col("n") - F.col("flags"), F.col("m") - F.col("flags_c")) + _common_flags("slots", "slots_c")
+    close = close & (100 * flagged >= PERCENT * (F.col("n") + F.col("m") - flagged))
     pairs = members.where("node <> hub").select(F.col("hub").alias("c"), "node")
     tested = None
     centres = 1
     while True:
         pairs = pairs.select(F.col("c").alias("a"), F.col("node").alias("b")).distinct()
-        pairs = stored(pairs if centres == 1 else possible(pairs, slots), "near-pairs")
+        pairs = stored(pairs, "near-pairs")
         if pairs.isEmpty() and centres == 1:
             break
         if not pairs.isEmpty():
@@ -201,7 +224,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             if centres == 1:
                 shares = decided.groupBy("a", "b").agg(F.max("shared").alias("s"))
                 shares = shares.select(F.col("a").alias("hub"), F.col("b").alias("node"), "s")
-                members = stored(members.join(shares, ["hub", "node"], "left").withColumn("s", F.coalesce("s", "n")), "near-shares")
+                members = stored(members.join(shares, ["hub", "node"], "left").withColumn("s", F.when(F.col("loose"), F.col("n")).otherwise(F.coalesce("s", "n"))), "near-shares")
             apart = decided.groupBy("a", "b").agg(F.max("linked").alias("linked")).where("not linked").select("a", "b")
             tested = apart if tested is None else tested.union(apart)
             new = decided.where("linked").select("a", "b")
@@ -211,20 +234,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             merged = components(new.select(F.coalesce("to_a", "a").alias("u"), F.coalesce("to_b", "b").alias("v")))
             labels = stored(relabelled(labels, merged).union(merged.join(labels, "node", "left_anti")), "near-labels")
         # buckets that still hold several components
-        labelled = members.join(labels, "node", "left").select("key", "size", "node", "n", "s", F.coalesce("label", "node").alias("label"))
+        labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         left = labelled.where(F.col("size") > max(2, centres))  # all pairs of smaller ones have been tested
+        if centres == 1:
+            several = left.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
+            open_nodes = stored(left.join(several, "key", "left_semi").select("node", "label").distinct(), "near-open")
+            own = stored(own_shingles(open_nodes, texts), "near-own")
+            members = members.join(own, "node", "left").fillna(0, ["own", "within"]).withColumn("open", F.col("n") - F.col("within"))
+            members = members.where(100 * F.col("open") >= PERCENT * F.col("n"))
+            members = stored(members.withColumn("rest", F.when(F.col("loose"), F.col("n")).otherwise(F.greatest(F.lit(0), F.col("n") - F.col("s") - F.col("own")))).drop("own", "within"), "near-members")
+            left = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).where("size > 2")
         mixed_buckets = left.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
         members_left = stored(left.join(mixed_buckets, "key", "left_semi"), "near-left")
         if members_left.isEmpty():
             break
-        # a node is a centre of a bucket if its place there, a fixed random number, is early enough
-        place = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 20)) / float(1 << 20)
-        placed = members_left.withColumn("place", place * F.col("size"))
-        chosen = placed.where((F.col("place") < centres * GROWTH) | (F.col("size") <= centres * GROWTH))
-        chosen = chosen.select("key", F.col("node").alias("c"), F.col("n").alias("m"), F.col("s").alias("s_c"), F.col("label").alias("label_c"), F.col("place").alias("place_c"))
-        pairs = placed.join(chosen, "key").where((F.col("label") != F.col("label_c")) & close)
-        if centres > 1:  # those with an earlier centre were tested in its round
-            pairs = pairs.where(F.least("place", "place_c") >= centres)
+        # Centres are nodes outside the bucket's largest component, so nodes that are together already are
+        # not compared; one is a centre if its place in the bucket, a fixed random number, is early enough.
+        parts = members_left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"))
+        largest = parts.groupBy("key").agg(F.max(F.struct("rows", "label")).alias("l")).select("key", F.col("l.label").alias("largest"))
+        ready = members_left.join(slots.withColumn("flags", _common_flags("slots", "slots")), ["node", "n"])
+        place = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 20)) / float(1 << 20) * F.col("size")
+        early = (place < centres * GROWTH) | (F.col("size") <= centres * GROWTH)
+        chosen = ready.join(largest, "key").where((F.col("label") != F.col("largest")) & early)
+        chosen = chosen.select("key", F.col("node").alias("c"), F.col("n").alias("m"), F.col("s").alias("s_c"), F.col("rest").alias("rest_c"), F.col("open").alias("open_c"), F.col("label").alias("label_c"), F.col("slots").alias("slots_c"), F.col("flags").alias("flags_c"))
+        pairs = ready.join(chosen, "key").where((F.col("label") != F.col("label_c")) & close)
         pairs = pairs.select(F.least("c", "node").alias("c"), F.greatest("c", "node").alias("node")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select(F.col("a").alias("c"), F.col("b").alias("node")), ["c", "node"], "left_anti")
