@@ -117,11 +117,25 @@ def _words_of_blocks(n_buckets: int):
 
 
 def encode_words(words: list[bytes], tokenizer: str) -> list[bytes]:
-    """The ids of each word as little-endian 32-bit integers."""
+    """The ids of each word as little-endian 32-bit integers.
+
+    Many words are encoded in one call, with a special token between them: the tokenizer cuts texts at
+    special tokens first. A call whose separators don't come out one by one is made word by word.
+    """
     model, _ = load_word_tokenizer(tokenizer)
+    special = {t.content: k for k, t in model.get_added_tokens_decoder().items() if t.special and not t.normalized}
+    separator = max(special, key=special.get, default=None)
     out: list[bytes] = []
-    for chunk in itertools.batched(words, 4096):
-        out += [np.array(x.ids, "<u4").tobytes() for x in model.encode_batch([w.decode() for w in chunk], add_special_tokens=False)]
+    for chunk in itertools.batched(words, 2048):
+        texts = [w.decode() for w in chunk]
+        if separator is not None:
+            ids = np.array(model.encode_batch_fast([separator.join(texts)], add_special_tokens=False)[0].ids, "<u4")  # no offsets
+            at = np.flatnonzero(ids == special[separator])
+            if len(at) == len(texts) - 1:
+                raw, ends = ids.tobytes(), (4 * np.append(at, len(ids))).tolist()
+                out += [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]
+                continue
+        out += [np.array(x.ids, "<u4").tobytes() for x in model.encode_batch(texts, add_special_tokens=False)]
     return out
 
 
@@ -143,9 +157,18 @@ def _encode_bucket(tokenizer: str):
 
 
 def decode_words(word_ids: list[bytes], tokenizer: str) -> list[str]:
-    """Ids to pieces by position in the piece table, joined as the tokenizer joins them."""
+    """Ids to pieces by position in the piece table, joined as the tokenizer joins them.
+
+    All words are looked up and joined at once, with a line feed between them, which no piece holds.
+    """
     _, pieces = load_word_tokenizer(tokenizer)
-    return [" ".join([p for i in np.frombuffer(x, "<u4").tolist() if (p := pieces[i]) is not None]) for x in word_ids]
+    if None in pieces or any("\n" in p for p in pieces):
+        return [" ".join([p for i in np.frombuffer(x, "<u4").tolist() if (p := pieces[i]) is not None]) for x in word_ids]
+    lengths = np.fromiter(map(len, word_ids), np.int64, len(word_ids)) // 4
+    flat = np.full(int(lengths.sum()) + len(lengths), len(pieces), np.int64)
+    flat[np.arange(int(lengths.sum())) + np.repeat(np.arange(len(lengths)), lengths)] = np.frombuffer(b"".join(word_ids), "<u4")
+    table = [*pieces, "\n"]
+    return [x.strip(" ") for x in " ".join([table[i] for i in flat.tolist()]).split("\n")[: len(word_ids)]]
 
 
 def _join_back(tokenizer: str, n_buckets: int, with_output: bool):
@@ -161,17 +184,15 @@ def _join_back(tokenizer: str, n_buckets: int, with_output: bool):
             raw = zstandard.decompress(ids.as_py())
             doc_ids = np.frombuffer(raw, np.int64, len(documents)).tolist()
             nulls = raw[8 * len(documents) :]
-            ids_of: dict[bytes, bytes] = {}
-            text_of: dict[bytes, str] = {}
+            known: dict[bytes, tuple[bytes, str]] = {}  # a word's ids and decoded text: one look-up a word
             for bucket, words in enumerate(distinct_words(documents, n_buckets)):
                 if words:
                     word_ids = unpack_strings(answered[bucket].as_py())
-                    ids_of.update(zip(words, word_ids, strict=True))
-                    text_of.update((w, d) for w, d in zip(words, decode_words(word_ids, tokenizer), strict=True) if d)
+                    known.update(zip(words, zip(word_ids, decode_words(word_ids, tokenizer), strict=True), strict=True))
             for doc_id, null, text in zip(doc_ids, nulls, documents, strict=True):
-                words = text.split()
-                encoded = b"".join([ids_of[w] for w in words])
-                decoded = " ".join([text_of[w] for w in words if w in text_of])
+                found = list(map(known.__getitem__, text.split()))
+                encoded = b"".join([ids for ids, _ in found])
+                decoded = " ".join([plain for _, plain in found if plain])
                 row = (None if null else doc_id, len(encoded) // 4, hashlib.sha256(encoded).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
                 rows.append((*row, encoded, decoded) if with_output else row)
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], schema=schema)
