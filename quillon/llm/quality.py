@@ -3,7 +3,7 @@
 Each text becomes a short vector of transformed statistics (smoothed, so that short texts are not
 outliers by chance). For every (lang, source) the minimum covariance determinant estimate is found by
 concentration steps: distances under the present centre and covariance, then centre and covariance
-of the H share of rows that are nearest. Texts whose Mahalanobis distance exceeds the cut-off go.
+of the nearest rows, up to the H share (over half; bins of equal distance stay whole). Texts whose Mahalanobis distance exceeds the cut-off go.
 
 The steps are distributed: distances fall into fine logarithmic bins, moments are summed per (group,
 bin) with map-side combination, and a running sum over the few bins of a group gives the moments of
@@ -39,7 +39,7 @@ NAMES = ("x_length", "x_symbols", "x_lines", "x_repeats")
 FLOORS = (0.06, 0.15, 0.15, 0.15)
 DIMS = len(NAMES)
 H = 0.75
-STEPS = 4
+STEPS = 5
 MIN_GROUP = 200
 TAIL = 1e-8
 #: Estimates (about 300 bytes) of up to so many pairs of language and source are sent to all executors.
@@ -64,8 +64,11 @@ def chi_square_quantile(p: float, degrees: int) -> float:
 
 
 CUTOFF = chi_square_quantile(1 - TAIL, DIMS)
-#: Makes the covariance of the nearest H share that of all rows, were they normal.
-CONSISTENCY = H / chi_square_cdf(chi_square_quantile(H, DIMS), DIMS + 2)
+
+
+def consistency(share: float) -> float:
+    """Makes the covariance of a nearest share that of all rows, were they normal."""
+    return 1.0 if share >= 1 else share / chi_square_cdf(chi_square_quantile(share, DIMS), DIMS + 2)
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
@@ -125,25 +128,25 @@ def _moments() -> list:
     return [F.count(F.lit(1)).cast("double").alias("m_n"), *(F.sum(x[i]).alias(f"m_{i}") for i in range(DIMS)), *(F.sum(x[i] * x[j]).alias(f"m_{i}_{j}") for i in range(DIMS) for j in range(i, DIMS))]
 
 
-def estimate_of(moments: dict[str, float], consistency: float) -> tuple[list[float], list[float]]:
+def estimate_of(moments: dict[str, float]) -> tuple[list[float], list[float]]:
     """Centre and inverse covariance (row by row) from moments; spreads are held above FLOORS."""
     n = moments["m_n"]
     center = np.array([moments[f"m_{i}"] / n for i in range(DIMS)])
     covariance = np.empty((DIMS, DIMS))
     for i in range(DIMS):
         for j in range(i, DIMS):
-            covariance[i, j] = covariance[j, i] = (moments[f"m_{i}_{j}"] / n - center[i] * center[j]) * consistency
+            covariance[i, j] = covariance[j, i] = (moments[f"m_{i}_{j}"] / n - center[i] * center[j]) * consistency(n / moments["n"])
     covariance += np.diag(np.square(FLOORS))
     return center.tolist(), np.linalg.inv(covariance).ravel().tolist()
 
 
-def _estimates(moments: DataFrame, consistency: float) -> DataFrame:
+def _estimates(moments: DataFrame) -> DataFrame:
     def solve(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(r["grp"], *estimate_of(r, consistency)) for r in batch.to_dict("records")]
+            rows = [(r["grp"], *estimate_of(r)) for r in batch.to_dict("records")]
             yield pd.DataFrame(rows, columns=["grp", "center", "inverse"])
 
-    return moments.select("grp", *MOMENTS).mapInPandas(solve, ESTIMATE)
+    return moments.select("grp", "n", *MOMENTS).mapInPandas(solve, ESTIMATE)
 
 
 def _distance():
@@ -154,16 +157,18 @@ def _distance():
 
 def robust_estimates(rows: DataFrame, steps: int = STEPS, h: float = H) -> DataFrame:
     """grp, x_* -> grp, center, inverse: the minimum covariance determinant estimate of each group."""
-    estimates = stored(_estimates(rows.groupBy("grp").agg(*_moments()), 1.0), "mcd-start")
+    estimates = stored(_estimates(rows.groupBy("grp").agg(*_moments()).withColumn("n", F.col("m_n"))), "mcd-start")
     within = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     for step in range(steps):
-        binned = rows.join(estimates, "grp").withColumn("bin", F.floor(F.log2(_distance() + 1e-6) * 16).cast("int"))
+        binned = rows.join(estimates, "grp").withColumn("bin", F.floor(F.log2(_distance() + 1e-6) * 32).cast("int"))
         per_bin = binned.groupBy("grp", "bin").agg(*_moments())
         total = F.sum("m_n").over(Window.partitionBy("grp"))
         running = per_bin.select("grp", "bin", total.alias("n"), *(F.sum(m).over(within).alias(m) for m in MOMENTS))
-        first = F.row_number().over(Window.partitionBy("grp").orderBy("bin"))
-        nearest = running.where(F.col("m_n") >= h * F.col("n")).withColumn("first", first).where("first = 1")
-        estimates = stored(_estimates(nearest, CONSISTENCY), f"mcd-{step}")
+        full = F.col("m_n") >= h * F.col("n")
+        within_share = (F.col("m_n") <= h * F.col("n")) & (2 * F.col("m_n") > F.col("n"))
+        choice = F.row_number().over(Window.partitionBy("grp").orderBy(F.when(within_share, 0).when(full, 1).otherwise(2), F.when(within_share, -F.col("bin")).otherwise(F.col("bin"))))
+        nearest = running.withColumn("choice", choice).where("choice = 1")
+        estimates = stored(_estimates(nearest), f"mcd-{step}")
     return estimates
 
 
