@@ -14,6 +14,10 @@ from dataclasses import asdict, dataclass, replace
 from quillon.functions.validators import validator
 
 
+#: Necessary conditions that many rules share.
+NEEDS = {"digits": r"[0-9][^A-Za-z]{0,8}[0-9][^A-Za-z]{0,8}[0-9]", "assignment": "[=:]"}
+
+
 @dataclass(frozen=True)
 class Rule:
     id: str
@@ -28,6 +32,7 @@ class Rule:
     excluded: tuple[str, ...] = ()  # none of them may be near
     window: int = 3  # words, of 8 characters each, on either side
     label: str = ""
+    needs: str = ""  # a name of NEEDS: texts without it cannot match, which is found once for all such rules
 
     def checked(self) -> Rule:
         re.compile(re.sub(r"\(\?<([a-zA-Z])", r"(?P<\1", self.pattern).replace(r"\p{L}", "[^\\W\\d_]").replace(r"\p{Lu}", "[A-Z]").replace(r"\p{Ll}", "[a-z]"))
@@ -198,7 +203,22 @@ PII_RULES = (
     _pii("pii-labeled-host", r"(?i)\bhost(?:name)?\s*[=:]\s*[\"']?([a-z][a-z0-9-]{2,62})\b", "labelled host name", group=1),
 )
 
-DEFAULT_RULES: tuple[Rule, ...] = SECRET_RULES + PII_RULES
+DIGIT_RULES = frozenset(
+    "pii-credit-card pii-ssn pii-phone-us pii-phone-jp pii-postal-jp pii-mynumber-jp pii-nir-fr pii-steuer-id-de pii-dni-nie-es pii-phone-fr pii-phone-it pii-phone-de pii-phone-es pii-postal-code "
+    "pii-rrn-kr pii-brn-kr pii-resident-id-cn pii-phone-kr pii-phone-cn pii-postal-cn pii-ipv4-public pii-ipv4 pii-tailscale-ip pii-nino-uk pii-phone-intl pii-phone-e164 pii-date-of-birth pii-address-fr "
+    "pii-address-de pii-address-it pii-address-es pii-aws-account pii-us-bank-account pii-us-passport pii-geo-decimal telegram-bot-token".split()
+)
+ASSIGNMENT_RULES = frozenset(
+    "wifi-psk generic-secret env-assignment password-json-key password-assignment credential-quoted-assignment credential-xml-setting anchored-entropy azure-storage-key azure-sas-key basic-auth-header "
+    "pii-azure-tenant pii-machine-id pii-ssid pii-labeled-name pii-labeled-user pii-labeled-host".split()
+)
+
+
+def _with_needs(rule: Rule) -> Rule:
+    return replace(rule, needs="digits" if rule.id in DIGIT_RULES else "assignment" if rule.id in ASSIGNMENT_RULES else "")
+
+
+DEFAULT_RULES: tuple[Rule, ...] = tuple(_with_needs(r) for r in SECRET_RULES + PII_RULES)
 
 
 def last_definitions(rules: list[Rule]) -> list[Rule]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.functions.validators import validator
-from quillon.operators.rules import Rule
+from quillon.operators.rules import NEEDS, Rule
 
 FINDING = "struct<rule_id:string,category:string,start:int,end:int,value:string,score:double>"
 
@@ -75,6 +75,15 @@ def shaped_as_secret(value: Column) -> Column:
     return ~T.is_placeholder(value) & ~T.is_not_secret_shaped(value) & ~T.is_code_identifier(value) & ~value.rlike(r"\(.*\)|^\w+\[|=>")
 
 
+def _need(name: str) -> str:
+    return f"__needs_{name}"
+
+
+def with_needs(rows: DataFrame, text: str) -> DataFrame:
+    """Adds what rule_findings() asks of a text before it tries patterns that share a condition."""
+    return rows.withColumns({_need(k): F.col(text).rlike(v) for k, v in NEEDS.items()})
+
+
 def rule_findings(name: str, rule: Rule) -> Column:
     """array<FINDING> of one rule in the column of that name. Gates run in the order shape, entropy, validator,
     context. Rules without gates are one SQL expression, as Column objects are slow to build by the hundred."""
@@ -98,13 +107,15 @@ def rule_findings(name: str, rule: Rule) -> Column:
     if gates:
         rows = F.filter(rows, lambda m: functools.reduce(lambda a, b: a & b, [g(m) for g in gates]))
     worth = f"contains({quoted}, {sql_text(rule.hint)})" if rule.hint else f"{quoted} rlike {sql_text(rule.pattern)}"
+    if rule.needs:
+        worth = f"`{_need(rule.needs)}` and {worth}"
     return F.when(F.expr(worth), rows).otherwise(F.expr(f"cast(array() as array<{FINDING}>)"))
 
 
 def scan(rows: DataFrame, rules: Iterable[Rule], text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keys, text -> keys and one row per finding."""
     found = [rule_findings(text, r) for r in rules]
-    per_text = rows.where(F.col(text).isNotNull()).select(*keys, F.explode(F.flatten(F.array(*found))).alias("finding"))
+    per_text = with_needs(rows.where(F.col(text).isNotNull()), text).select(*keys, F.explode(F.flatten(F.array(*found))).alias("finding"))
     return per_text.select(*keys, "finding.*")
 
 
