@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, text_or_empty
+from .common import read_table, small_batches, text_or_empty
 from .tokens import tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -203,6 +203,7 @@ def _join_back(tokenizer: str, n_buckets: int, with_output: bool):
 def encode_decode(docs: DataFrame, tokenizer: str = TOKENIZER, with_output: bool = False) -> DataFrame:
     """doc_id, text -> doc_id, n_tokens and digests of ids and decoded text; with_output adds both
     themselves (ids as little-endian 32-bit integers)."""
+    small_batches(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     blocks = texts.mapInArrow(_blocks, "block long, ids binary, texts binary").repartition(n, "block")

@@ -32,19 +32,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts the lineage, and a lost executor loses nothing."""
-    path = scratch_path(df.sparkSession, name)
+    """Write df as a table in the shared folder and read it again: cuts the lineage, and a lost executor loses nothing.
+
+    The table goes when the driver's JVM ends; until then a result may still read it.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(*frames: DataFrame) -> None:
-    """Delete tables that stored() wrote and nothing will read again."""
-    for df in frames:
-        spark = df.sparkSession
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows where the session has Spark's default of 10,000: texts may be long, and a batch
+    is held by the JVM and by a worker at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, read_table, stored
+from .common import batches_of, read_table, small_batches, stored
 
 MIN_PAGES = 10
 #: A template is at most this share of the text left on its page.
@@ -278,6 +278,7 @@ def _extract(templates, flagged: bool):
 def extract_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_templates: int = BROADCAST_TEMPLATES) -> DataFrame:
     """page_id, url, html -> page_id, url, text, n_chars."""
     spark = pages.sparkSession
+    small_batches(spark)
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     templates = stored(site_templates(pages, min_pages).select("key"), "templates")
     schema = "page_id long, url string, text string, n_chars long"

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, mixed, read_table, stored, window_hashes, word_hashes
+from .common import batches_of, mixed, read_table, small_batches, stored, window_hashes, word_hashes
 
 WIDTH = 5
 PERCENT = 75
@@ -178,6 +178,7 @@ def relabelled(labels: DataFrame, newer: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, component_id, kept; one row per row of docs."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sketches = stored(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, print binary, bands array<long>, slots array<long>"), "near-sketches")
     known = sketches.where("doc_id is not null")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, read_table, stored
+from .common import batches_of, read_table, small_batches, stored
 from .textstats import BASE, statistics
 
 MIN_WORDS = 20
@@ -174,6 +174,7 @@ def robust_estimates(rows: DataFrame, steps: int = STEPS, h: float = H) -> DataF
 
 def fitted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The statistics of docs with their groups, and the estimates of the groups."""
+    small_batches(docs.sparkSession)
     stats = stored(text_statistics(docs), "quality-stats")
     rows = _grouped(with_vector(stats))
     good = rows.where(~F.col("base_failed")).select("lang", "grp", *NAMES)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, read_table
+from .common import batches_of, read_table, small_batches
 from .labelled import fold_of, training_texts
 from .textstats import BASE, MORE, statistics
 from .trees import Forest, fit
@@ -54,6 +54,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, held_out:
 
 def score(docs: DataFrame, model: Forest, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text -> doc_id, score, predicted."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: trees x nodes
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, read_table, shared_dir, stored, text_or_empty
+from .common import batches_of, read_table, shared_dir, small_batches, stored, text_or_empty
 
 TOKENIZER = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -95,6 +95,7 @@ def _encode(name: str):
 def count_tokens(docs: DataFrame, cache_dir: str, tokenizer: str = TOKENIZER, limit: int = LIMIT) -> DataFrame:
     """doc_id, text -> doc_id, n_bytes, n_tokens, over_limit; brings the cache up to date."""
     spark = docs.sparkSession
+    small_batches(spark)
     cache_path = f"{cache_dir}/{tokenizer_version(tokenizer)}"
     content = text_or_empty()
     contents = docs.select("doc_id", content.alias("content"), F.unhex(F.sha2(content, 256)).alias("digest"))

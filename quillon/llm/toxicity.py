@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, read_table
+from .common import batches_of, read_table, small_batches
 from .labelled import fold_of, training_texts
 
 MODULUS, HELD_OUT = 4, 2
@@ -50,7 +50,7 @@ AUGMENTED = 40
 DECAY = 0.8
 SPAN = 5
 MAX_WORD = 24
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 _tuples = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _weights = np.array([DECAY ** (b - 2) for _, b in _tuples], np.float32)
@@ -299,6 +299,7 @@ def _scores(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[tuple[p
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text -> doc_id, score, predicted."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: one weight per subsequence
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,6 +311,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def filtered(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold, with their columns as they are."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
