@@ -29,7 +29,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df below the shared folder and read it again: what several steps read is worked out once."""
-    path = shared_path(df.sparkSession, name)
+    """Write df below the shared folder and read it again: what several steps read is worked out once.
+
+    The table goes when the driver's JVM ends; until then a result may still read it.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
