@@ -1,5 +1,6 @@
 """Queries do their whole job: fixtures that a subset, a prefix or a cap would show on."""
 
+import hashlib
 import json
 
 import pandas as pd
@@ -17,3 +18,9 @@ def test_json_minify_takes_every_event(spark, tmp_path):
     events = [{"event_id": k, "props": f'{{"k": {k}, "s": "a  b"}}'} for k in range(25)]
     got = {r.event_id: r.small for r in catalogue.QUERIES["json_minify"](spark, folder(tmp_path, events=events)).collect()}
     assert got == {e["event_id"]: json.dumps(json.loads(e["props"]), separators=(",", ":")) for e in events}
+
+
+def test_log_timestamp_strip_reads_every_event(spark, tmp_path):
+    events = [{"event_id": k, "event_type": "ab"[k % 2], "ts": pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=k)} for k in range(1980, 2040)]
+    got = {r.event_type: r.stripped for r in catalogue.QUERIES["log_timestamp_strip"](spark, folder(tmp_path, events=events)).collect()}
+    assert got == {t: hashlib.md5("\n".join(f"event {e['event_id']}" for e in events if e["event_type"] == t).encode()).hexdigest() for t in "ab"}
