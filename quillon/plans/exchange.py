@@ -111,8 +111,9 @@ def hidden_runs(spark, sf_dir):
 
 @query("base64_blocks", "SELECT doc_id, md5(left(text, 300)) AS decoded FROM documents WHERE length(text) >= 300")
 def base64_blocks(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("length(text) >= 300")
-    coded = F.concat(F.lit("see "), F.regexp_replace(F.base64(F.encode(F.left("text", F.lit(300)), "utf-8")), r"\s", ""), F.lit(" end"))
+    """Whole texts in base64 within a text, found and decoded; texts too short for a block give none."""
+    docs = table(spark, sf_dir, "documents")
+    coded = F.concat(F.lit("see "), F.regexp_replace(F.base64(F.encode("text", "utf-8")), r"\s", ""), F.lit(" end"))
     return docs.select("doc_id", F.explode(H.encoded_blocks(coded)).alias("b")).select("doc_id", F.md5("b.decoded").alias("decoded"))
 
 

@@ -24,3 +24,9 @@ def test_log_timestamp_strip_reads_every_event(spark, tmp_path):
     events = [{"event_id": k, "event_type": "ab"[k % 2], "ts": pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=k)} for k in range(1980, 2040)]
     got = {r.event_type: r.stripped for r in catalogue.QUERIES["log_timestamp_strip"](spark, folder(tmp_path, events=events)).collect()}
     assert got == {t: hashlib.md5("\n".join(f"event {e['event_id']}" for e in events if e["event_type"] == t).encode()).hexdigest() for t in "ab"}
+
+
+def test_base64_blocks_takes_whole_texts(spark, tmp_path):
+    texts = ["short", "x" * 18, "näive text of some words " * 4, "a" * 299, "words behind the three hundredth character " * 200, "長い文 " * 30_000]
+    got = {r.doc_id: r.decoded for r in catalogue.QUERIES["base64_blocks"](spark, folder(tmp_path, documents=[{"doc_id": k, "text": t} for k, t in enumerate(texts)])).collect()}
+    assert got == {k: hashlib.md5(t.encode()).hexdigest() for k, t in enumerate(texts) if k}
