@@ -210,7 +210,7 @@ DIGIT_RULES = frozenset(
 )
 ASSIGNMENT_RULES = frozenset(
     "wifi-psk generic-secret env-assignment password-json-key password-assignment credential-quoted-assignment credential-xml-setting anchored-entropy azure-storage-key azure-sas-key basic-auth-header "
-    "pii-azure-tenant pii-machine-id pii-ssid pii-labeled-name pii-labeled-user pii-labeled-host".split()
+    "pii-machine-id pii-ssid pii-labeled-name pii-labeled-user pii-labeled-host".split()
 )
 
 
