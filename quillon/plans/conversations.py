@@ -303,10 +303,13 @@ def prefix_digests(spark, sf_dir):
 
 @query("prompt_cache_model")
 def prompt_cache_model(spark, sf_dir):
-    """Requests that follow from events: each session's prompts grow by a block of tokens a time."""
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("session"), F.col("event_id").alias("id"), "ts")
-    n = F.row_number().over(Window.partitionBy("session").orderBy("ts", "id"))
-    grown = e.withColumn("n", F.least(n, F.lit(30)))
+    """Requests that follow from events: each session's prompts grow by a block of tokens a time.
+
+    A session is a user's month, so its length does not grow with the number of users or months.
+    """
+    session = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM"))
+    e = table(spark, sf_dir, "events").select(session.alias("session"), F.col("event_id").alias("id"), "ts")
+    grown = e.withColumn("n", F.row_number().over(Window.partitionBy("session").orderBy("ts", "id")))
     blocks = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(i.cast("string").alias("prefix"), F.lit(400).alias("tokens")))
     return M.cache_model(grown.select("session", "id", "ts", blocks.alias("blocks")), lifetime_s=86_400)
 

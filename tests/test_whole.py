@@ -30,3 +30,12 @@ def test_base64_blocks_takes_whole_texts(spark, tmp_path):
     texts = ["short", "x" * 18, "näive text of some words " * 4, "a" * 299, "words behind the three hundredth character " * 200, "長い文 " * 30_000]
     got = {r.doc_id: r.decoded for r in catalogue.QUERIES["base64_blocks"](spark, folder(tmp_path, documents=[{"doc_id": k, "text": t} for k, t in enumerate(texts)])).collect()}
     assert got == {k: hashlib.md5(t.encode()).hexdigest() for k, t in enumerate(texts) if k}
+
+
+def test_prompt_cache_model_keeps_whole_prompts(spark, tmp_path):
+    day, start = pd.Timedelta(days=1), pd.Timestamp("2024-01-01")
+    times = [start + k * day / 4 for k in range(50)] + [start + 20 * day, start + 40 * day]
+    events = [{"event_id": k, "user_id": 7, "ts": t} for k, t in enumerate(times)]
+    got = {r.id: (r.total, r.read) for r in catalogue.QUERIES["prompt_cache_model"](spark, folder(tmp_path, events=events)).collect()}
+    warm = {k: (400 * (k + 1), 400 * k if k > 2 else 0) for k in range(50)}
+    assert got == warm | {50: (400 * 51, 0), 51: (400, 0)}
