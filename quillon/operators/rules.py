@@ -127,6 +127,8 @@ SECRET_RULES = (
     _secret("mysql-password", r"\b(mysql|mariadb|mysqldump)\b[^\n|;]{0,200}?\s-p([\"'][^\"'\n]+[\"'])", "mysql password flag", group=2, validator="literal-password"),
     _secret("password-netrc", r"(?m)^\s*(machine\s+\S+\s+login\s+\S+\s+password)\s+(\S+)", "netrc password", "machine", group=2, validator="literal-password"),
     _secret("password-prose", r"(?i)\bpassword (?:is|was|=) [\"'`]?([^\s\"'`]{8,})", "password in prose", group=1, min_entropy=3.0, validator="prose-password"),
+    _secret("password-prose-short", r"(?iu)(?:\b(?:password|passwd|pwd|pw)[ \t]+(?:is|was|to)[ \t]+|パスワード(?:は[ \t]*|[ \t]*[：:][ \t]*))[\"'「]?((?:(?!です|である)[^\s\"'」`。、]){4,128}(?<![.,;:?)\]}]))", "short password in prose", group=1, validator="prose-password"),
+    _secret("credential-env-line", r"(?m)^[ \t]*(?:export[ \t]+)?[A-Z][A-Z0-9_]*(?:SECRET|TOKEN|API_?KEY|PASSWORD)=([^\s\"'#$`;.]{4,256})(?=[ \t]*(?:#|\r?$))", "credential in an environment line", group=1, validator="literal-credential"),
     _secret("redis-auth", r"(?i)\b(redis-cli\b[^\n]{0,120}?\s-a|AUTH)\s+([\"'][^\"'\n]+[\"']|[^\s\"']{6,})", "redis password", group=2, validator="literal-password"),
     _secret("credential-quoted-assignment", r"(?i)\b(\w*credentials?\w*|client[_-]?secret)\s*[=:]\s*[\"']([^\"'\n]{4,})[\"']", "quoted credential", group=2, validator="literal-credential"),
     _secret("credential-xml-element", r"(?i)<(password|secret|apikey|token|clientsecret)>([^<\s]{4,})</", "credential element", "<", group=2, validator="literal-credential"),
@@ -184,7 +186,7 @@ PII_RULES = (
     _pii("pii-address-kr", r"[가-힣]{1,8}[시도군구] ?[가-힣 ]{1,20}[로길동] ?[0-9]+(?:-[0-9]+)?", "Korean address"),
     _pii("pii-street-address", r"\b[0-9]{1,6} (?:[NSEW]\.? )?[A-Z][a-z]+(?: [A-Z][a-z]+){0,3} (?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Way)\b", "US street address"),
     _pii("pii-home-user", r"(?:/home/|/Users/|[A-Z]:\\Users\\)([A-Za-z][\w.-]{1,31})", "user name in a home directory", group=1),
-    _pii("pii-aws-account", r"\barn:aws[\w-]*:[\w-]*:[\w-]*:([0-9]{12}):", "AWS account number", hint="arn:aws", group=1),
+    _pii("pii-aws-account", r"(?i)(?:\barn:aws[\w-]*:[\w-]*:[\w-]*:|\baccount(?:[_-]?id)?[\"']?\s*[:=]\s*[\"']?)([0-9]{12})\b", "AWS account number", group=1),
     _pii("pii-azure-tenant", r"(?i)\b(?:subscription|tenant)s?(?:_?id)?[\"']?\s*[:=/]\s*[\"']?([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})", "Azure tenant", group=1),
     _pii("pii-s3-bucket", r"\bs3a?://([a-z0-9][a-z0-9.-]{2,62})", "S3 bucket", hint="s3", group=1),
     _pii("pii-s3-bucket-host", r"\b([a-z0-9][a-z0-9.-]{2,62})\.s3[.-][a-z0-9-]*\.?amazonaws\.com", "S3 bucket host", hint=".s3", group=1),
@@ -209,7 +211,7 @@ DIGIT_RULES = frozenset(
     "pii-address-de pii-address-it pii-address-es pii-aws-account pii-us-bank-account pii-us-passport pii-geo-decimal telegram-bot-token".split()
 )
 ASSIGNMENT_RULES = frozenset(
-    "wifi-psk generic-secret env-assignment password-json-key password-assignment credential-quoted-assignment credential-xml-setting anchored-entropy azure-storage-key azure-sas-key basic-auth-header "
+    "wifi-psk generic-secret env-assignment credential-env-line password-json-key password-assignment credential-quoted-assignment credential-xml-setting anchored-entropy azure-storage-key azure-sas-key basic-auth-header "
     "pii-machine-id pii-ssid pii-labeled-name pii-labeled-user pii-labeled-host".split()
 )
 

@@ -70,9 +70,10 @@ def has_near_word(text: Column, m: Column, words: tuple[str, ...], window: int)
     return out
 
 
-def shaped_as_secret(value: Column) -> Column:
-    """Not a placeholder, a piece of code or prose."""
-    return ~T.is_placeholder(value) & ~T.is_not_secret_shaped(value) & ~T.is_code_identifier(value) & ~value.rlike(r"\(.*\)|^\w+\[|=>")
+def shaped_as_secret(value: Column, number: bool = False) -> Column:
+    """Not a placeholder, a piece of code or prose; a plain number only if that is allowed."""
+    shaped = ~T.is_not_secret_shaped(value) | value.rlike("^[0-9]+$") if number else ~T.is_not_secret_shaped(value)
+    return ~T.is_placeholder(value) & shaped & ~T.is_code_identifier(value) & ~value.rlike(r"\(.*\)|^\w+\[|=>")
 
 
 def _need(name: str) -> str:
@@ -91,7 +92,7 @@ def rule_findings(name: str, rule: Rule) -> Column:
     found = matches_sql(quoted, rule.pattern, rule.group)
     gates = []
     if rule.category == "secret" and rule.group:
-        gates.append(lambda m: shaped_as_secret(m["value"]))
+        gates.append(lambda m: shaped_as_secret(m["value"], rule.validator in ("literal-password", "literal-credential")))
     if rule.min_entropy:
         gates.append(lambda m: T.entropy(m["value"]) >= rule.min_entropy)
     if rule.validator:
