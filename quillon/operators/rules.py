@@ -132,8 +132,8 @@ SECRET_RULES = (
     _secret("redis-auth", r"(?i)\b(redis-cli\b[^\n]{0,120}?\s-a|AUTH)\s+([\"'][^\"'\n]+[\"']|[^\s\"']{6,})", "redis password", group=2, validator="literal-password"),
     _secret("credential-quoted-assignment", r"(?i)\b(\w*credentials?\w*|client[_-]?secret)\s*[=:]\s*[\"']([^\"'\n]{4,})[\"']", "quoted credential", group=2, validator="literal-credential"),
     _secret("credential-xml-element", r"(?i)<(password|secret|apikey|token|clientsecret)>([^<\s]{4,})</", "credential element", "<", group=2, validator="literal-credential"),
-    _secret("credential-xml-setting", r"(?i)<add\s+(key|name)=\"([^\"]*(?:password|secret|apikey|token)[^\"]*)\"\s+value=\"([^\"\s]{4,})\"", "credential setting", "value=", group=3, validator="literal-credential"),
-    _secret("powershell-plaintext-securestring", r"(?i)(ConvertTo-SecureString)\s+(?:-String\s+)?([\"'][^\"'\n]{4,}[\"'])[^\n]{0,40}-AsPlainText", "plain secure string", "ecure", group=2, validator="literal-password"),
+    _secret("credential-xml-setting", r"(?i)<add\s+(key|name)=\"([^\"]*(?:password|secret|apikey|token)[^\"]*)\"\s+value=\"([^\"\s]{4,})\"", "credential setting", '="', group=3, validator="literal-credential"),
+    _secret("powershell-plaintext-securestring", r"(?i)(ConvertTo-SecureString)\s+(?:-String\s+)?([\"'][^\"'\n]{4,}[\"'])[^\n]{0,40}-AsPlainText", "plain secure string", group=2, validator="literal-password"),
     _secret("cli-secret-flag", r"(?i)--(?:api[_-]?key|token|secret|access[_-]?key)[ =][\"']?([^\s\"'$<{]{8,})", "secret flag", "--", group=1, min_entropy=3.0),
     _secret("aws-secret-near-key-id", r"(?:AKIA|ASIA)[A-Z2-7]{16}[^A-Za-z0-9/+=][\s\S]{0,120}?(?<![A-Za-z0-9/+=])([A-Za-z0-9/+=]{40})(?![A-Za-z0-9/+=])", "AWS secret beside its id", group=1, min_entropy=4.0, validator="aws-secret-shape"),
     _secret("lone-token-line", r"(?m)^[ \t]*([A-Za-z0-9_+/=-]{32,})[ \t]*$", "bare token on a line", group=1, min_entropy=4.5),
