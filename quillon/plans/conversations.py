@@ -275,20 +275,26 @@ def shell_programs(spark, sf_dir):
 
 @query("known_value_search", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def known_value_search(spark, sf_dir):
-    """Passages of the benchmark that stand whole in documents: joined by their first words, then compared.
+    """Passages of the benchmark that stand whole in documents: joined by words inside them, then compared.
 
-    Each passage's first five words are looked up among the five-word windows of documents, so the cost is
-    one row per window and not per pair of texts.
+    A passage's first and last words may be parts of a document's words; those between are words of it. Up to
+    five of them are looked up among the document's windows of as many words, so the cost is one row per window
+    and not per pair of texts. Passages of one or two words have none between and are compared with every text.
     """
     words = lambda c: F.split(c, r"\s+")
-    five = lambda c, i: F.array_join(F.slice(c, i, F.lit(5)), " ")
-    passages = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), five(words(F.col("text")), F.lit(1)).alias("key"))
+    window = lambda c, i, n: F.array_join(F.slice(c, i, n), " ")
+    inner = F.least(F.size(words(F.col("text"))) - 2, F.lit(5))
+    passages = table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.col("text").alias("passage"), inner.alias("n"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    w = docs.select("doc_id", words(F.col("text")).alias("w"))
-    keys = w.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: five(F.col("w"), i))).alias("key"))
-    candidates = keys.join(passages.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    looked_up = passages.where("n > 0").withColumn("key", window(words(F.col("passage")), F.lit(2), F.col("n")))
+    lengths = F.broadcast(looked_up.select("n").distinct())  # 1 to 5
+    w = docs.select("doc_id", words(F.col("text")).alias("w")).join(lengths, F.size("w") >= F.col("n"))
+    keys = w.select("doc_id", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: window(F.col("w"), i, F.col("n")))).alias("key"))
+    candidates = keys.join(looked_up.select("item_id", "n", "key"), ["n", "key"]).select("doc_id", "item_id").distinct()
     full = candidates.join(passages.select("item_id", "passage"), "item_id").join(docs, "doc_id")
-    return full.where(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
+    found = full.where(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
+    short = passages.where("n <= 0").join(docs, F.contains("text", F.col("passage"))).select("item_id", "doc_id")
+    return found.unionByName(short)
 
 
 @query("valid_requests", "WITH b AS (SELECT conv_id, length(text) = 0 OR lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role AS bad FROM conversations) SELECT conv_id, NOT bool_or(coalesce(bad, false)) AS valid FROM b GROUP BY conv_id")

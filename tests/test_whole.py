@@ -39,3 +39,12 @@ def test_prompt_cache_model_keeps_whole_prompts(spark, tmp_path):
     got = {r.id: (r.total, r.read) for r in catalogue.QUERIES["prompt_cache_model"](spark, folder(tmp_path, events=events)).collect()}
     warm = {k: (400 * (k + 1), 400 * k if k > 2 else 0) for k in range(50)}
     assert got == warm | {50: (400 * 51, 0), 51: (400, 0)}
+
+
+def test_known_value_search_finds_marked_and_short_passages(spark, tmp_path):
+    passages = ["one two three four five six", "alpha beta gamma", "alpha  beta gamma delta", "pair here", "lone", " lead word in", "five words in all here"]
+    texts = ['he said "one two three four five six".', "(alpha beta gamma) again", "xalpha  beta gamma deltax", "a pair herein", "cyclone", "to lead word into", "none", "<five words in all here>", "one two three four five  six", ""]
+    benchmark = [{"item_id": k, "text": t} for k, t in enumerate(passages)]
+    documents = [{"doc_id": k, "text": t} for k, t in enumerate(texts)]
+    got = sorted((r.item_id, r.doc_id) for r in catalogue.QUERIES["known_value_search"](spark, folder(tmp_path, benchmark=benchmark, documents=documents)).collect())
+    assert got == [(i, d) for i, p in enumerate(passages) for d, t in enumerate(texts) if p in t]
