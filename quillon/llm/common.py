@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +16,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _local_shared: list[str] = []
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset a local session (tests) gets a folder of its own; a cluster's executors could not
+    see it, so there this raises.
+    """
     if set_dir := spark.conf.get("spark.checkpoint.dir", None):
         return set_dir.rstrip("/")
+    if not (master := spark.sparkContext.master).startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _local_shared:
         _local_shared.append(tempfile.mkdtemp(prefix="quillon-"))
     return _local_shared[0]
@@ -31,17 +39,49 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage, and a lost executor loses nothing.
 
-    The table goes when the driver's JVM ends; until then a result may still read it.
+    The table goes by dropped(), or when the driver's JVM ends: a result may read it until then.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    place, system = _place(spark, path)
+    system.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete stored tables that no later step and no result reads."""
+    for table in tables:
+        if table is not None and (path := _paths.pop(table, None)):
+            place, system = _place(table.sparkSession, path)
+            system.delete(place, True)
+
+
+#: Rows of a table that keys are looked up in are sent to all executors up to this number of them.
+BROADCAST_ROWS = 50_000
+SALTS = 16
+
+
+def looked_up(rows: DataFrame, small: DataFrame, keys: list[str], limit: int = BROADCAST_ROWS, n: int | None = None) -> DataFrame:
+    """rows joined to a table with one row per key; keys must not be null.
+
+    The table is counted (or its count is given): up to `limit` rows it is broadcast. Beyond that it is dealt out with each key
+    SALTS times and rows by a hash of all they hold, so that a key with a third of all rows is many tasks.
+    """
+    if (small.count() if n is None else n) <= limit:
+        return rows.join(F.broadcast(small), keys)
+    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(salted, [*keys, "__salt"]).drop("__salt")
 
 
 def small_batches(spark: SparkSession) -> None:
