@@ -33,6 +33,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -279,11 +280,24 @@ def _logistic(top: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _fit_sample(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parts = list(batches)
+    if parts:
+        sample = pd.concat(parts)
+        sample = sample.assign(text=sample["text"].fillna("")).sort_values(["doc_id", "text"]).drop_duplicates()
+        model = fit(sample["text"].tolist(), sample["y"].tolist())
+        yield pd.DataFrame({"weight": [model.weight.tobytes()], "bias": [model.bias], "scale": [model.scale.tolist()]})
+
+
 def train(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, held_out: int = HELD_OUT, per_class: int = PER_CLASS) -> Model:
-    """Collects at most 2 * per_class texts."""
-    sample = training_texts(docs, labels, "toxic", modulus, held_out, per_class).toPandas()
-    sample = sample.assign(text=sample["text"].fillna("")).sort_values(["doc_id", "text"]).drop_duplicates()
-    return fit(sample["text"].tolist(), sample["y"].tolist())
+    """Fitted by one task on at most 2 * per_class texts; only the weights come to the driver."""
+    small_batches(docs.sparkSession)
+    sample = training_texts(docs, labels, "toxic", modulus, held_out, per_class)
+    sample = sample.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("y").cast("int")).repartition(1)
+    found = sample.mapInPandas(_fit_sample, "weight binary, bias double, scale array<double>").collect()
+    if not found:
+        return fit([], [])
+    return Model(np.frombuffer(found[0].weight, float), found[0].bias, np.array(found[0].scale))
 
 
 def _scores(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
