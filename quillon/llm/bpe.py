@@ -3,18 +3,17 @@
 Texts are cut at ASCII white space, which this tokenizer drops, so a word's ids do not depend on its
 neighbours. Every distinct word of the corpus is encoded once; ids come back by position:
 
-1. Scan tasks pack their documents into blocks of about BLOCK_BYTES of text (compressed), which are
-   dealt out by block. This is the only time that texts move.
-2. Each block deals its sorted distinct words into buckets by hash, one packed row per bucket.
-3. A bucket gets the packs of all blocks, encodes each distinct word once, and answers each pack with
-   the ids of its words in the pack's order.
-4. Each block looks its documents' words up by position in the answers. Decoding joins ids to the
-   tokenizer's pieces (a table of fixed size, one row per id) and joins pieces with spaces, as this
-   tokenizer has no decoder of its own.
-
-So rows shuffled are packs, not words; a very common word is one entry per block, and a large group
-of copies adds no distinct words. All steps are deterministic for a scan partition, so a lost
-executor's tasks can be run again.
+1. Spark splits texts into words. Scan tasks gather documents into blocks of about BLOCK_BYTES of words and
+   write, for each document, its words as places in the block's list of distinct words (compressed), and
+   that list, a row per place. Texts do not move; this table is what later steps read.
+2. The distinct words of all blocks' lists are the corpus's words. Each is encoded once, and its ids are
+   decoded by a join, position by position, to the table of the tokenizer's pieces.
+3. The blocks' lists are joined to the encoded words. A block's documents meet its list, and their ids and
+   decoded words are taken by place. Decoded words are joined with spaces, as this tokenizer has no
+   decoder of its own.
+
+So rows shuffled are a block's distinct words, not words of texts, and a very common word is one row per block; the
+join's large partitions may be split. A large group of copies adds no distinct words.
 
 Defined cases: null, empty and blank texts have no tokens and decode to the empty string; very long
 texts are a block of their own; repeated rows and null doc_ids keep one row each; an empty table gives
@@ -26,21 +25,22 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches, text_or_empty
+from .common import read_table, small_batches, stored, text_or_empty
 from .tokens import tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
 BLOCK_BYTES = 16 << 20
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 @functools.lru_cache(maxsize=2)
@@ -57,67 +57,60 @@ def load_word_tokenizer(name: str):
     return model, [model.id_to_token(i) for i in range(model.get_vocab_size())]
 
 
-def pack_strings(items: list[bytes]) -> bytes:
-    """Byte strings as compressed lengths and content."""
-    lengths = np.fromiter(map(len, items), np.uint32, len(items))
-    return zstandard.compress(np.uint32(len(items)).tobytes() + lengths.tobytes() + b"".join(items), 3)
-
-
-def unpack_strings(data: bytes) -> list[bytes]:
-    raw = zstandard.decompress(data)
-    n = int(np.frombuffer(raw, np.uint32, 1)[0])
-    ends = (np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64) + 4 + 4 * n).tolist()
-    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends)]
-
-
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents -> block, ids and texts packed, one row per block."""
-    first = TaskContext.get().partitionId() << 24
-    nth, ids, texts, size = 0, [], [], 0
-
-    def row() -> pa.RecordBatch:
-        nulls = np.array([x is None for x in ids], np.uint8)
-        numbers = np.array([0 if x is None else x for x in ids], np.int64)
-        data = [[first + nth], [zstandard.compress(numbers.tobytes() + nulls.tobytes(), 3)], [pack_strings(texts)]]
-        return pa.RecordBatch.from_arrays([pa.array(d, k) for d, k in zip(data, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "ids", "texts"])
-
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            encoded = text.encode()
-            if texts and size + len(encoded) > BLOCK_BYTES:
-                yield row()
-                nth, ids, texts, size = nth + 1, [], [], 0
-            ids.append(doc_id)
-            texts.append(encoded)
-            size += len(encoded)
-    if texts:
-        yield row()
-
-
-def distinct_words(texts: list[bytes], n_buckets: int) -> list[list[bytes]]:
-    """A block's distinct words by bucket, in their fixed order."""
-    words: set[bytes] = set()
-    for text in texts:
-        words.update(text.split())
-    buckets: list[list[bytes]] = [[] for _ in range(n_buckets)]
-    for word in sorted(words):
-        buckets[zlib.crc32(word) % n_buckets].append(word)
-    return buckets
-
-
-def _words_of_blocks(n_buckets: int):
-    def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+BLOCKS = "block long, doc_id long, codes binary, place int, word string"
+_block_schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("place", pa.int32()), ("word", pa.string())])
+
+
+def _block_rows(block: int, parts: list[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """A row for each document, with its words as places, and a row for each distinct word."""
+    lists = pa.chunked_array([p.column("words") for p in parts]).combine_chunks()
+    encoded = lists.flatten().dictionary_encode()
+    distinct, codes = encoded.dictionary, encoded.indices.to_numpy()
+    ends = np.asarray(lists.offsets)[1:].astype(np.int64) - lists.offsets[0].as_py()
+    blank = pc.index(distinct, "").as_py()  # what stands before the first and after the last white space
+    if blank >= 0:
+        there = codes != blank
+        ends = np.concatenate(([0], np.cumsum(there)))[ends]
+        codes = codes[there]
+    packed = [zstandard.compress(codes[a:b].tobytes(), 1) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    doc_ids = pa.chunked_array([p.column("doc_id") for p in parts]).combine_chunks()
+    n, m = len(packed), len(distinct)
+    for at in range(0, n, rows):
+        part = packed[at : at + rows]
+        yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), doc_ids.slice(at, rows), pa.array(part, pa.binary()), pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.string())], schema=_block_schema)
+    for at in range(0, m, rows):
+        part = distinct.slice(at, rows)
+        yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary()), pa.array(np.arange(at, at + len(part)), pa.int32()), part], schema=_block_schema)
+
+
+def _blocks(block_bytes: int):
+    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 24
+        parts: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("texts"), strict=True):
-                packs = [(k, pack_strings(x)) for k, x in enumerate(distinct_words(unpack_strings(data.as_py()), n_buckets)) if x]
-                if packs:
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(packs), pa.int64()), pa.array([k for k, _ in packs], pa.int32()), pa.array([d for _, d in packs], pa.binary())], names=["block", "bucket", "words"])
-
-    return words
-
-
-def encode_words(words: list[bytes], tokenizer: str) -> list[bytes]:
-    """The ids of each word as little-endian 32-bit integers.
+            ends = np.asarray(batch.column("words").offsets)
+            flat = batch.column("words").values
+            sizes = np.concatenate(([0], np.cumsum(np.asarray(pc.binary_length(flat)), dtype=np.int64)))[ends] if len(flat) else np.zeros(len(ends), np.int64)
+            at = 0
+            while at < batch.num_rows:  # as many documents as fit, and one at least
+                fit = int(np.searchsorted(sizes, sizes[at] + block_bytes - size, side="right")) - 1
+                upto = min(batch.num_rows, max(fit, at if parts else at + 1))
+                if upto > at:
+                    parts.append(batch.slice(at, upto - at))
+                    size += int(sizes[upto] - sizes[at])
+                    at = upto
+                if at < batch.num_rows or size >= block_bytes:
+                    yield from _block_rows(block, parts)
+                    block, parts, size = block + 1, [], 0
+        if parts:
+            yield from _block_rows(block, parts)
+
+    return blocks
+
+
+def encode_words(words: list[str], tokenizer: str) -> list[np.ndarray]:
+    """The ids of each word.
 
     Many words are encoded in one call, with a special token between them: the tokenizer cuts texts at
     special tokens first. A call whose separators don't come out one by one is made word by word.
@@ -125,94 +118,87 @@ def encode_words(words: list[bytes], tokenizer: str) -> list[bytes]:
     model, _ = load_word_tokenizer(tokenizer)
     special = {t.content: k for k, t in model.get_added_tokens_decoder().items() if t.special and not t.normalized}
     separator = max(special, key=special.get, default=None)
-    out: list[bytes] = []
+    out: list[np.ndarray] = []
     for chunk in itertools.batched(words, 2048):
-        texts = [w.decode() for w in chunk]
+        texts = list(chunk)
         if separator is not None:
             ids = np.array(model.encode_batch_fast([separator.join(texts)], add_special_tokens=False)[0].ids, "<u4")  # no offsets
             at = np.flatnonzero(ids == special[separator])
             if len(at) == len(texts) - 1:
-                raw, ends = ids.tobytes(), (4 * np.append(at, len(ids))).tolist()
-                out += [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]
+                ends = [*at.tolist(), len(ids)]
+                out += [ids[a:b] for a, b in zip([0, *(e + 1 for e in ends)], ends)]
                 continue
-        out += [np.array(x.ids, "<u4").tobytes() for x in model.encode_batch(texts, add_special_tokens=False)]
+        out += [np.array(x.ids, "<u4") for x in model.encode_batch(texts, add_special_tokens=False)]
     return out
 
 
-def _encode_bucket(tokenizer: str):
+def _encode(tokenizer: str):
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, bytes] = {}
-        bucket_now = None
         for batch in batches:
-            for block, bucket, data in zip(*(batch.column(k) for k in range(3)), strict=True):
-                if bucket.as_py() != bucket_now:
-                    known, bucket_now = {}, bucket.as_py()
-                words = unpack_strings(data.as_py())
-                new = [w for w in words if w not in known]
-                known.update(zip(new, encode_words(new, tokenizer), strict=True))
-                ids = pack_strings([known[w] for w in words])
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([bucket_now], pa.int32()), pa.array([ids], pa.binary())], names=["block", "bucket", "word_ids"])
+            ids = encode_words(batch.column("word").to_pylist(), tokenizer)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
 
     return encode
 
 
-def decode_words(word_ids: list[bytes], tokenizer: str) -> list[str]:
-    """Ids to pieces by position in the piece table, joined as the tokenizer joins them.
-
-    All words are looked up and joined at once, with a line feed between them, which no piece holds.
-    """
+def pieces_of(spark: SparkSession, tokenizer: str) -> DataFrame:
+    """id, piece: the tokenizer's own table, whose size is fixed."""
     _, pieces = load_word_tokenizer(tokenizer)
-    if None in pieces or any("\n" in p for p in pieces):
-        return [" ".join([p for i in np.frombuffer(x, "<u4").tolist() if (p := pieces[i]) is not None]) for x in word_ids]
-    lengths = np.fromiter(map(len, word_ids), np.int64, len(word_ids)) // 4
-    flat = np.full(int(lengths.sum()) + len(lengths), len(pieces), np.int64)
-    flat[np.arange(int(lengths.sum())) + np.repeat(np.arange(len(lengths)), lengths)] = np.frombuffer(b"".join(word_ids), "<u4")
-    table = [*pieces, "\n"]
-    return [x.strip(" ") for x in " ".join([table[i] for i in flat.tolist()]).split("\n")[: len(word_ids)]]
+    found = [(i, p) for i, p in enumerate(pieces) if p is not None]
+    table = pa.table({"id": pa.array([i for i, _ in found], pa.int32()), "piece": pa.array([p for _, p in found], pa.string())})
+    return spark.createDataFrame(table)
+
+
+def encoded_words(words: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """word (each once) -> word, ids, decoded: ids by the library, decoded by a join to the pieces."""
+    encoded = stored(words.mapInArrow(_encode(tokenizer), "word string, ids array<int>"), "bpe-words")
+    pieces = F.broadcast(pieces_of(words.sparkSession, tokenizer))
+    places = encoded.select("word", F.posexplode("ids").alias("place", "id")).join(pieces, "id")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("place", "piece"))), lambda x: x["piece"])  # of one word
+    decoded = places.groupBy("word").agg(F.array_join(in_order, " ").alias("decoded"))
+    return encoded.join(decoded, "word", "left")
 
 
-def _join_back(tokenizer: str, n_buckets: int, with_output: bool):
+def _join_back(with_output: bool):
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_output else [])]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), *([pa.binary(), pa.string()] if with_output else [])]
     schema = pa.schema(list(zip(names, kinds, strict=True)))
 
-    def join(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    def join(documents: pa.Table, words: pa.Table) -> pa.Table:
+        words = words.take(np.argsort(words.column("place").to_numpy()))
+        ids = words.column("ids").combine_chunks() if len(words) else pa.array([], pa.list_(pa.int32()))
+        flat = ids.flatten().to_numpy().astype("<u4")
+        lengths = np.diff(np.asarray(ids.offsets)) if len(ids) else np.empty(0, np.int64)
+        first = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
+        decoded = np.array([(x or "").encode() for x in words.column("decoded").to_pylist()], object)
         rows: list[tuple] = []
-        answered = dict(zip(answers.column("bucket").to_pylist(), answers.column("word_ids"), strict=True))
-        for ids, packed in zip(texts.column("ids"), texts.column("texts"), strict=True):
-            documents = unpack_strings(packed.as_py())
-            raw = zstandard.decompress(ids.as_py())
-            doc_ids = np.frombuffer(raw, np.int64, len(documents)).tolist()
-            nulls = raw[8 * len(documents) :]
-            known: dict[bytes, tuple[bytes, str]] = {}  # a word's ids and decoded text: one look-up a word
-            for bucket, words in enumerate(distinct_words(documents, n_buckets)):
-                if words:
-                    word_ids = unpack_strings(answered[bucket].as_py())
-                    known.update(zip(words, zip(word_ids, decode_words(word_ids, tokenizer), strict=True), strict=True))
-            for doc_id, null, text in zip(doc_ids, nulls, documents, strict=True):
-                found = list(map(known.__getitem__, text.split()))
-                encoded = b"".join([ids for ids, _ in found])
-                decoded = " ".join([plain for _, plain in found if plain])
-                row = (None if null else doc_id, len(encoded) // 4, hashlib.sha256(encoded).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                rows.append((*row, encoded, decoded) if with_output else row)
-        return pa.Table.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], schema=schema)
+        for packed in documents.column("codes"):
+            codes = np.frombuffer(zstandard.decompress(packed.as_py()), np.int32)
+            n = lengths[codes]
+            total = int(n.sum())
+            at = np.repeat(first[codes] - (np.cumsum(n) - n), n) + np.arange(total)
+            encoded = flat[at].tobytes()
+            plain = b" ".join([x for x in decoded[codes].tolist() if x])
+            row = (total, hashlib.sha256(encoded).hexdigest(), hashlib.sha256(plain).hexdigest())
+            rows.append((*row, encoded, plain.decode()) if with_output else row)
+        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds[1:])]
+        return pa.Table.from_arrays([documents.column("doc_id"), *columns], schema=schema)
 
     return join
 
 
-def encode_decode(docs: DataFrame, tokenizer: str = TOKENIZER, with_output: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer: str = TOKENIZER, with_output: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, text -> doc_id, n_tokens and digests of ids and decoded text; with_output adds both
     themselves (ids as little-endian 32-bit integers)."""
     small_batches(docs.sparkSession)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    blocks = texts.mapInArrow(_blocks, "block long, ids binary, texts binary").repartition(n, "block")
-    # all columns on: the exchange of blocks is then the same in both branches, and is made once
-    words = blocks.mapInArrow(_words_of_blocks(n), "block long, bucket int, words binary")
-    by_bucket = words.repartition(n, "bucket").sortWithinPartitions("bucket")
-    answers = by_bucket.mapInArrow(_encode_bucket(tokenizer), "block long, bucket int, word_ids binary").repartition(n, "block")
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(text_or_empty(), SPACE).alias("words"))
+    blocks = stored(words.mapInArrow(_blocks(block_bytes), BLOCKS), "bpe-blocks")
+    placed = blocks.where("word is not null").select(F.col("block").alias("of_block"), "place", "word")
+    known = encoded_words(placed.select("word").distinct(), tokenizer)
+    answers = placed.join(known, "word").select("of_block", "place", "ids", "decoded")
+    documents = blocks.where("codes is not null").select("block", "doc_id", "codes")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_output
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_join_back(tokenizer, n, with_output), schema)
+    return documents.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(_join_back(with_output), schema)
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:
