@@ -3,13 +3,15 @@
 Pass 1 parses each page, hashes its block element subtrees (tag, class, id, text, and the hashes of
 children, so it is linear in the page) and counts, per host, the distinct pages that hold a subtree.
 A subtree on MIN_PAGES pages or more of a host is a template of that host. Pass 2 parses again and
-deletes templates, then what markup itself names as no article: menus, headers, footers, sidebars,
+deletes templates first, whatever their names. Then goes what counts cannot tell, as it differs from page
+to page or its host has few pages, and markup names as no article: menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments. If elements `article` or `main` are
 left, only they count.
 
-Copies of a page count once, as a page in full. Text itself is guarded: inside an article, running text
-(paragraphs, headings, lists' items) is never a template, and a subtree with a large share of the
-page's text is not either, so that an article that a site prints on many pages stays.
+Copies of a page count once, as a page in full. Text itself is guarded: inside an article, a subtree that
+holds running text (paragraphs, headings, lists' items) is never a template, and elsewhere a subtree
+with more than TEXT_SHARE of the page's text is not either, so that an article that a site prints on
+many pages stays. Both only ever keep text.
 
 Counts are partial sums per task and hash, so a host with a third of all pages is no hot group.
 Templates are sent to the executors while their counted number stays under BROADCAST_TEMPLATES;
@@ -36,8 +38,8 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, read_table, small_batches, stored
 
-MIN_PAGES = 10
-#: A template is at most this share of the text left on its page.
+MIN_PAGES = 5
+#: A template is at most this share of its page's text. On sf0.1 templates are 0.1 % to 21 % of it.
 TEXT_SHARE = 0.25
 #: 8 bytes each.
 BROADCAST_TEMPLATES = 500_000
@@ -72,7 +74,7 @@ class Element:
     article: int  # 0: outside; 1: inside an article; 2: inside main alone
     parts: list[bytes] = field(default_factory=list)
     first_block: int = 0
-    text: int = 0
+    running: bool = False  # is or holds running text of an article
 
 
 @dataclass(slots=True)
@@ -80,7 +82,7 @@ class Subtree:
     digest: int
     first: int  # blocks that it holds
     last: int
-    running: bool  # running text of an article
+    running: bool  # is or holds running text of an article
 
 
 @dataclass(slots=True)
@@ -208,27 +210,34 @@ class Page:
     def _pop(self) -> None:
         self._flush()
         e = self._open.pop()
+        running = e.running or (bool(e.article) and e.tag in RUNNING)
+        self._open[-1].running |= running
         digest = xxhash.xxh64_digest(e.name.encode("utf-8", "replace") + b"\0" + b"".join(e.parts))
         self._open[-1].parts.append(digest)
         if len(self.blocks) > e.first_block and self._host and e.tag not in ("html", "body", "article", "main"):
             key = xxhash.xxh64_intdigest(digest + self._host.encode("utf-8", "replace"))
-            self.subtrees.append(Subtree(key - (1 << 64) if key >> 63 else key, e.first_block, len(self.blocks), bool(e.article) and e.tag in RUNNING))
+            self.subtrees.append(Subtree(key - (1 << 64) if key >> 63 else key, e.first_block, len(self.blocks), running))
 
     def keys(self) -> list[int]:
         """Digests of the subtrees that may be templates, for this host."""
         return list({s.digest for s in self.subtrees if not s.running})
 
-    def main_text(self, is_template) -> str:
-        gone = [b.excluded for b in self.blocks]
-        sizes = np.cumsum([0] + [0 if x else len(b.text) for x, b in zip(gone, self.blocks, strict=True)])
-        scope = [b.article for b, x in zip(self.blocks, gone, strict=True) if not x]
-        level = 1 if 1 in scope else 2 if 2 in scope else 0
-        kept = [not x and (not level or b.article == level) for x, b in zip(gone, self.blocks, strict=True)]
-        whole = max(1, sum(len(b.text) for b, k in zip(self.blocks, kept, strict=True) if k))
+    def main_text(self, is_template, names: bool = True, scope: bool = True) -> tuple[str, int]:
+        """The main text, and the characters that the counts of subtrees took away. Without names or scope
+        only the counts decide."""
+        kept = [True] * len(self.blocks)
+        sizes = np.cumsum([0] + [len(b.text) for b in self.blocks])
         for s in self.subtrees:
-            if not s.running and sizes[s.last] - sizes[s.first] <= TEXT_SHARE * whole and any(kept[s.first : s.last]) and is_template(s.digest):
+            if not s.running and sizes[s.last] - sizes[s.first] <= TEXT_SHARE * sizes[-1] and any(kept[s.first : s.last]) and is_template(s.digest):
                 kept[s.first : s.last] = [False] * (s.last - s.first)
-        return "\n".join([b.text for b, k in zip(self.blocks, kept, strict=True) if k])
+        gone = sum(len(b.text) for b, k in zip(self.blocks, kept, strict=True) if not k)
+        if names:
+            kept = [k and not b.excluded for b, k in zip(self.blocks, kept, strict=True)]
+        if scope:
+            places = {b.article for b in self.blocks if not b.excluded}
+            level = 1 if 1 in places else 2 if 2 in places else 0
+            kept = [k and (not level or b.article == level) for b, k in zip(self.blocks, kept, strict=True)]
+        return "\n".join([b.text for b, k in zip(self.blocks, kept, strict=True) if k]), gone
 
 
 def host_of(url: str | None) -> str:
@@ -256,35 +265,37 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     return per_page.groupBy("key").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= min_pages)
 
 
-def _extract(templates, flagged: bool):
+def _extract(templates, flagged: bool, names: bool, scope: bool):
     """templates: a broadcast sorted array of digests; flagged: each row brings its own in `flags`."""
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if flagged else set(templates.value.tolist())
         for batch in batches_of(batches, 512):
-            texts = []
+            found = []
             flags = batch.column("flags").to_pylist() if flagged else [None] * batch.num_rows
             for url, markup, own in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), flags, strict=True):
                 among = set(own or ()) if flagged else known
-                texts.append(Page(markup or "", host_of(url)).main_text(among.__contains__))
+                found.append(Page(markup or "", host_of(url)).main_text(among.__contains__, names, scope))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=["page_id", "url", "text", "n_chars"],
+                [batch.column("page_id"), batch.column("url"), pa.array([t for t, _ in found], pa.string()), pa.array([len(t) for t, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())],
+                names=["page_id", "url", "text", "n_chars", "n_template_chars"],
             )
 
     return extract
 
 
-def extract_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_templates: int = BROADCAST_TEMPLATES) -> DataFrame:
-    """page_id, url, html -> page_id, url, text, n_chars."""
+def extract_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_templates: int = BROADCAST_TEMPLATES, names: bool = True, scope: bool = True) -> DataFrame:
+    """page_id, url, html -> page_id, url, text, n_chars, n_template_chars (what the counts alone took away).
+
+    names and scope switch off what markup's names and the article's element decide after the counts."""
     spark = pages.sparkSession
     small_batches(spark)
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     templates = stored(site_templates(pages, min_pages).select("key"), "templates")
-    schema = "page_id long, url string, text string, n_chars long"
+    schema = "page_id long, url string, text string, n_chars long, n_template_chars long"
     if templates.count() <= broadcast_templates:
         digests = np.sort(templates.toPandas()["key"].to_numpy(np.int64))
-        return pages.mapInArrow(_extract(spark.sparkContext.broadcast(digests), False), schema)
+        return pages.mapInArrow(_extract(spark.sparkContext.broadcast(digests), False, names, scope), schema)
 
     def own_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 512):
@@ -298,7 +309,7 @@ def extract_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_te
     rows = pages.withColumn("row", F.sha2(F.concat_ws("\n", "url", "html"), 256))
     own = rows.select("row", "url", "html").mapInArrow(own_keys, "own_row string, key long")
     flags = own.join(templates, "key").groupBy("own_row").agg(F.collect_set("key").alias("flags"))
-    return rows.join(flags, F.col("row") == F.col("own_row"), "left").select("page_id", "url", "html", "flags").mapInArrow(_extract(None, True), schema)
+    return rows.join(flags, F.col("row") == F.col("own_row"), "left").select("page_id", "url", "html", "flags").mapInArrow(_extract(None, True, names, scope), schema)
 
 
 def op6_html_extraction(spark, sf_dir: str) -> DataFrame:

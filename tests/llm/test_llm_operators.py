@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -148,13 +149,13 @@ def test_counts_and_cache(spark, tmp_path):
 # 5. BPE
 
 
-def test_ids_and_text_equal_the_library(spark, monkeypatch):
+@pytest.mark.parametrize("block_bytes", [1, 400, bpe.BLOCK_BYTES])
+def test_ids_and_text_equal_the_library(spark, block_bytes):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(bpe, "BLOCK_BYTES", 400)
     model = Tokenizer.from_file(tokens.tokenizer_path(bpe.TOKENIZER))
     rows = [(1, "The cat's 42 cats,  THE end"), (2, None), (3, " \n"), (None, "<|endoftext|>x<|startoftext|> <|endoftext|>"), (1, "a\x1cb \x85 Ǆ é"), (5, "lorem ipsum " * 2000), (6, "x" * 3000)]
-    got = bpe.encode_decode(with_clashes(docs(spark, rows)), with_output=True).collect()
+    got = bpe.encode_decode(with_clashes(docs(spark, rows)), with_output=True, block_bytes=block_bytes).collect()
     expected = []
     for i, t in rows:
         ids = model.encode(t or "", add_special_tokens=False).ids
@@ -182,6 +183,46 @@ def test_main_text_and_templates(spark):
     assert html.extract_main_text(pages.limit(0)).count() == 0
 
 
+def brute_extraction(rows, min_pages, names):
+    """By regular expressions, for pages laid out as nav, div.ad, article, footer."""
+    from html import unescape
+    from urllib.parse import urlsplit
+
+    plain = lambda x: " ".join(unescape(re.sub(r"</?(?:a|b)\b[^>]*>", "", re.sub("<br>", " ", x))).split())
+    parts, holders = [], {}
+    for _, url, page in rows:
+        nav, ad, footer = (re.search(p, page, re.S) for p in (r"<nav>(.*?)</nav>", r'<div class="ad">(.*?)</div>', r"<footer>(.*?)</footer>"))
+        links = [plain(x) for x in re.findall(r"<li>(.*?)</li>", nav[1])] if nav else []
+        article = [x for x in map(plain, re.split(r"</?(?:p|h1|article)>", re.search(r"<article>(.*?)</article>", page, re.S)[0])) if x]
+        side = [("nav", tuple(x for x in links if x)), ("ad", (plain(ad[1]),) if ad else ()), ("footer", (plain(footer[1]),) if footer else ())]
+        side += [("link", (x,)) for x in links]
+        parts.append((side, article))
+        for key in set(side):
+            holders.setdefault((urlsplit(url).hostname, key), set()).add(page)
+    out = {}
+    for (page_id, url, _), (side, article) in zip(rows, parts):
+        whole = sum(len(x) for _, t in side[:3] for x in t) + sum(map(len, article))
+        recurs = lambda key: len(holders[urlsplit(url).hostname, key]) >= min_pages and sum(map(len, key[1])) <= html.TEXT_SHARE * whole  # noqa: E731, B023
+        left = {k: [] if recurs((k, t)) else [x for x in t if not (k == "nav" and recurs(("link", (x,))))] for k, t in side[:3]}
+        gone = sum(len(x) for _, t in side[:3] for x in t) - sum(len(x) for t in left.values() for x in t)
+        out[page_id] = ("\n".join(article if names else left["nav"] + left["ad"] + article + left["footer"]), gone)
+    return out
+
+
+@pytest.mark.parametrize("names", [True, False])
+def test_extraction_against_brute_force(spark, names):
+    """Also with nothing but the counts of subtrees: without them menus and footers stay."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = [tuple(r) for r in pages.select("page_id", "url", "html").collect()]
+    got = html.extract_main_text(pages, min_pages=2, names=names, scope=names).collect()
+    expected = brute_extraction(rows, 2, names)
+    assert {r.page_id: (r.text, r.n_template_chars) for r in got} == expected
+    assert sum(n > 0 for _, n in expected.values()) > 20  # pages that the counts change
+    withheld = html.extract_main_text(pages, min_pages=10**9, names=names, scope=names).collect()
+    assert all(r.n_template_chars == 0 for r in withheld)
+    assert names or sum(r.text != expected[r.page_id][0] for r in withheld) > 20
+
+
 def test_template_outside_an_article_goes(spark):
     rows = [(k, "http://t.example/p", f"<div class=box>Latest offers</div><p>Text number {k} that is long enough to be the main thing on this page</p>") for k in range(12)]
     got = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
@@ -198,7 +239,7 @@ def test_repeated_article_stays(spark):
 
 
 def brute_statistics(text):
-    words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if w]
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
     lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\r\x0b\x0c")]
     windows = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
     again = {w for w in windows if windows.count(w) > 1}
