@@ -7,7 +7,7 @@ counts back by digest. The digest is over the content as the tokenizer is given
 empty; nothing else may be normalised away, as it would change counts).
 
 Texts move at most once: equal contents are merged on the map side first, so a content with a third
-of all rows is one row per task; with few misses only those texts are picked, by a broadcast join
+of all rows is one row per task, and its ids meet its count in a join whose large partitions are split; with few misses only those texts are picked, by a broadcast join
 whose size is counted before. Appends are Spark's committed writes: a lost executor or a failed run
 leaves no partial count, and rows that two runs append at once agree and are merged on reading.
 
@@ -110,7 +110,8 @@ def count_tokens(docs: DataFrame, cache_dir: str, tokenizer: str = TOKENIZER, li
     if misses is None or n:
         distinct = texts.groupBy("digest").agg(F.first("content").alias("content"))
         distinct.mapInArrow(_encode(tokenizer), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path)
+    # stored, so that both sides of the join are plain exchanges: Spark then splits a digest with many rows
+    counts = stored(read_cache(spark, cache_path), "token-counts")
     return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
