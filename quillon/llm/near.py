@@ -182,10 +182,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sketches = stored(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, print binary, bands array<long>, slots array<long>"), "near-sketches")
     known = sketches.where("doc_id is not null")
-    nodes = known.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("node"))
+    # stored, so that both sides of a join are plain exchanges: Spark then splits a set with many documents
+    nodes = stored(known.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("node")), "near-prints")
     sets = stored(known.where("print is not null").select("doc_id", "print").join(nodes, "print").select("doc_id", "node").distinct(), "near-nodes")
     # one row per node: the document that it is named after; a doc_id with several texts has a row for each
-    first = sketches.join(nodes, "print").where("doc_id = node").groupBy("print").agg(F.first("node").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("slots").alias("slots"))
+    named = nodes.select(F.col("print").alias("of_print"), "node")
+    first = known.join(named, (F.col("print") == F.col("of_print")) & (F.col("doc_id") == F.col("node"))).groupBy("print").agg(F.first("node").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("slots").alias("slots"))
     first = stored(first, "near-first")
     banded = stored(first.select("node", "n", F.explode("bands").alias("key")), "near-bands")
     buckets = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
@@ -276,16 +278,16 @@ def filtered(docs: DataFrame) -> DataFrame:
     Of rows that repeat an id one stays, chosen by a hash of all its columns.
     """
     found = stored(near_duplicates(docs).groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "near-found")
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone"))
+    packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row"))
+    gone = found.where("not kept").select(F.col("doc_id").alias("id"))
     few = gone.count() <= BROADCAST_IDS
-    rest = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    again = found.where("rows > 1 and kept and doc_id is not null").select(F.col("doc_id").alias("__again"))
+    rest = packed.join(F.broadcast(gone) if few else gone, "id", "left_anti")
+    again = found.where("rows > 1 and kept and doc_id is not null").select(F.col("doc_id").alias("id"))
     if again.isEmpty():
-        return rest
-    once = rest.join(again, F.col("doc_id") == F.col("__again"), "left_anti")
-    packed = rest.join(again, F.col("doc_id") == F.col("__again"), "left_semi").select("doc_id", F.struct(*docs.columns).alias("row"))
-    picked = packed.groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.struct(F.xxhash64("row").alias("h"), "row")).alias("least")).select("least.row.*")
-    return once.unionByName(picked)
+        return rest.select("row.*")
+    once = rest.join(again, "id", "left_anti").select("row")
+    least = rest.join(again, "id", "left_semi").groupBy("id").agg(F.min(F.struct(F.xxhash64("row").alias("h"), "row")).alias("least"))
+    return once.union(least.select("least.row")).select("row.*")
 
 
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:
