@@ -7,8 +7,9 @@ the point is) keeps up to DEGREE diverse edges; edges back are pruned by the sam
 products the vectors get one more component that gives all of a shard the same norm, so that nearest
 by distance and largest by product agree. Equal vectors of a shard are one node with a list of ids.
 
-Queries are packed into blocks, every block visits every shard, a beam search proposes candidates, and
-their products are computed again in double precision on the original vectors. The best of all shards
+Queries are packed into blocks, and blocks into groups of GROUP_BLOCKS; every group visits every shard in a
+task of its own, so that a task holds one shard and a bounded number of queries however many there are.
+A beam search proposes candidates, and their products are computed again in double precision on the original vectors. The best of all shards
 are merged. All rows are indexed; nothing is sampled.
 
 Defined cases: rows with a null id, and vectors that are null, empty, zero or hold null or non-finite
@@ -37,6 +38,8 @@ ALPHA = 1.2
 TOP = 20
 QUERY_MODULUS = 20
 BLOCK_QUERIES = 256
+#: Blocks that one task searches; a shard's index goes to as many tasks as there are groups of them.
+GROUP_BLOCKS = 64
 EXPAND = 4
 BATCH = 512
 SEED_POINTS = 128
@@ -183,6 +186,11 @@ def valid_vectors(rows: DataFrame) -> DataFrame:
     return out.where(finite & F.exists("vector", lambda v: v != 0)).withColumn("dim", F.size("vector"))
 
 
+def once_per_id(rows: DataFrame) -> DataFrame:
+    """valid_vectors with the smallest vector of each id: merged on the map side, so an id that many rows repeat is no hot key."""
+    return valid_vectors(rows).groupBy("vec_id").agg(F.min(F.struct("vector", "dim")).alias("v")).select("vec_id", "v.vector", "v.dim")
+
+
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     flat = column.combine_chunks().flatten() if len(column) else pa.array([], pa.float64())
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
@@ -195,10 +203,8 @@ _index_schema = pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("node",
 def _build(table: pa.Table) -> pa.Table:
     dim, shard = table.column("dim")[0].as_py(), table.column("shard")[0].as_py()
     ids, x = table.column("vec_id").to_numpy(), _matrix(table.column("vector"), dim)
-    order = np.lexsort((*x.T[::-1], ids))
+    order = np.argsort(ids)
     ids, x = ids[order], x[order]
-    once = np.concatenate(([True], ids[1:] != ids[:-1]))
-    ids, x = ids[once], x[once]
     distinct, node = np.unique(x, axis=0, return_inverse=True)
     by_node = np.argsort(node.ravel(), kind="stable")
     members = np.split(ids[by_node], np.cumsum(np.bincount(node.ravel(), minlength=len(distinct)))[:-1])
@@ -212,7 +218,7 @@ def _build(table: pa.Table) -> pa.Table:
 
 def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """vec_id, embedding -> INDEX, one row per distinct vector of a shard."""
-    valid = stored(valid_vectors(rows), "ann-vectors")
+    valid = stored(once_per_id(rows), "ann-vectors")
     shards = valid.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("n_shards"))
     dealt = valid.join(F.broadcast(shards), "dim") if shards.count() < 1000 else valid.join(shards, "dim")
     dealt = dealt.select("vec_id", "vector", "dim", F.pmod(F.xxhash64("vec_id"), F.col("n_shards").cast("long")).cast("int").alias("shard"))
@@ -254,15 +260,21 @@ def _search_shard(top: int, beam: int):
     return search
 
 
-def search(index: DataFrame, queries: DataFrame, top: int = TOP, beam: int = BEAM) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, top: int = TOP, beam: int = BEAM, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
     """INDEX and vec_id, embedding of the queries -> query_id, rank, vec_id, score."""
-    valid = valid_vectors(queries).groupBy("vec_id").agg(F.min(F.struct("vector", "dim")).alias("v")).select("vec_id", "v.vector", "v.dim")
-    valid = stored(valid, "ann-queries")
+    valid = stored(once_per_id(queries), "ann-queries")
     n_blocks = max(1, math.ceil(valid.count() / BLOCK_QUERIES))
+    n_groups = math.ceil(n_blocks / group_blocks)
     packed = valid.groupBy("dim", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))
     shards = index.groupBy("dim").agg((F.max("shard") + 1).alias("n_shards"))
-    visits = packed.join(shards, "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("n_shards") - 1)).alias("shard"), "queries")
-    found = index.groupBy("dim", "shard").cogroup(visits.groupBy("dim", "shard")).applyInArrow(_search_shard(top, beam), "query_id long, vec_id long, score double")
+    grouped = packed.join(shards, "dim").withColumn("part", F.pmod("block", F.lit(n_groups)).cast("int"))
+    visits = grouped.select("dim", "part", F.explode(F.sequence(F.lit(0), F.col("n_shards") - 1)).alias("shard"), "queries")
+    if n_groups > 1:
+        dealt = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
+    else:
+        dealt = index.withColumn("part", F.lit(0))
+    key = ["dim", "shard", "part"]
+    found = dealt.groupBy(*key).cogroup(visits.groupBy(*key)).applyInArrow(_search_shard(top, beam), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 

@@ -58,14 +58,16 @@ def test_conversations_read_back(spark):
 # 2. nearest neighbours
 
 
-def test_neighbours_against_brute_force(spark):
+@pytest.mark.parametrize("group_blocks", [ann.GROUP_BLOCKS, 1])
+def test_neighbours_against_brute_force(spark, monkeypatch, group_blocks):
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 40)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 16)) * rng.uniform(0.5, 2, (1500, 1))
     x[40:140] = x[40]  # copies
     rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [None] * 16), (None, x[0].tolist()), (3, x[3].tolist()), (2020, [])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("shard", F.lit("clash"))
     index = ann.build_index(table, shard_rows=400)
-    got = ann.search(index, table.where("vec_id % 20 == 0")).collect()
+    got = ann.search(index, table.where("vec_id % 20 == 0"), group_blocks=group_blocks).collect()
     by_query = {}
     for r in got:
         by_query.setdefault(r.query_id, []).append(r)
