@@ -151,13 +151,13 @@ def test_counts_and_cache(spark, tmp_path):
 # 5. BPE
 
 
-@pytest.mark.parametrize("block_bytes", [1, 400, bpe.BLOCK_BYTES])
-def test_ids_and_text_equal_the_library(spark, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "n_buckets"), [(1, 3), (400, 7), (bpe.BLOCK_BYTES, None)])
+def test_ids_and_text_equal_the_library(spark, block_bytes, n_buckets):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(tokens.tokenizer_path(bpe.TOKENIZER))
     rows = [(1, "The cat's 42 cats,  THE end"), (2, None), (3, " \n"), (None, "<|endoftext|>x<|startoftext|> <|endoftext|>"), (1, "a\x1cb \x85 Ǆ é"), (5, "lorem ipsum " * 2000), (6, "x" * 3000)]
-    got = bpe.encode_decode(with_clashes(docs(spark, rows)), with_output=True, block_bytes=block_bytes).collect()
+    got = bpe.encode_decode(with_clashes(docs(spark, rows)), with_output=True, block_bytes=block_bytes, n_buckets=n_buckets).collect()
     expected = []
     for i, t in rows:
         ids = model.encode(t or "", add_special_tokens=False).ids
