@@ -191,9 +191,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = stored(first, "near-first")
     banded = stored(first.select("node", "n", F.explode("bands").alias("key")), "near-bands")
     buckets = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
-    members = stored(banded.join(buckets.select("key", "size"), "key"), "near-members")
+    buckets = stored(buckets.select("key", "size"), "near-buckets")
+    members = stored(banded.join(buckets, "key"), "near-members")
     company = members.groupBy("node").agg(F.sum("size").alias("company"))
     hubs = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("minus"))).alias("hub")).select("key", (-F.col("hub.minus")).alias("hub"))
+    hubs = stored(hubs, "near-hub-keys")
     # a doc_id with several texts has no set of its own to bound what it shares
     multi = stored(first.groupBy("node").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("node"), "near-multi")
     own_loose = multi.select("node", F.lit(True).alias("loose_node"))
