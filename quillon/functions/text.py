@@ -139,3 +139,24 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
     inner, outer = bytes(b ^ 0x36 for b in block), bytes(b ^ 0x5C for b in block)
     first = F.unhex(F.sha2(F.concat(F.lit(inner), message.cast("binary")), 256))
     return F.sha2(F.concat(F.lit(outer), first), 256)
+
+
+def code_assignment(text: Column, m: Column) -> Column:
+    """A labelled match whose value is a code expression and no string: declared or set as a member before it, or
+    followed by an operator or a call. Quoted values are none."""
+    before = F.substring(text, F.greatest(m["start"] - 16, F.lit(0)) + 1, F.least(m["start"], F.lit(16)))
+    after = F.substring(text, m["end"] + 1, F.lit(8))
+    declared = before.rlike(r"(?:\b(?:const|let|var|val|final|auto)\s+|[\w)\]]\.)$")
+    return ~m["value"].rlike("[:=]\\s*[\"']") & (declared | after.rlike(r"^\s*(?:[=!]==?|&&|\|\||\?\??|[(\[])"))
+
+
+def beside_identity_label(text: Column, m: Column) -> Column:
+    """A match right after an identity label, or in front of a host."""
+    before = F.substring(text, F.greatest(m["start"] - 24, F.lit(0)) + 1, F.least(m["start"], F.lit(24)))
+    after = F.substring(text, m["end"] + 1, F.lit(2))
+    return before.rlike("(?i)\\b(?:user(?:name)?|login|owner|account|author|email|ssh|home|host)\\b[\\s\"'`=:/~]*$") | after.rlike("^[\"'`]?@")
+
+
+def is_prose_assignment(v: Column) -> Column:
+    """A sentence about credentials, which a labelled pattern took for one: four words or more, one of them such a word."""
+    return (F.regexp_count(v, F.lit(r"[A-Za-z]{2,}")) >= 4) & v.rlike(r"(?i)\b(?:password|passphrase|secret|token|key|credential)s?\b") & v.rlike(r"[a-z] [a-z]")

@@ -14,7 +14,7 @@ Predicate = Callable[[Column], Column]
 
 # Published test card numbers.
 TEST_CARDS = (
-    "4111111111111111", "4242424242424242", "4012888888881881", "4222222222222", "4000056655665556", "5555555555554444", "5105105105105100",
+    "4111111111111111", "4242424242424242", "4012888888881881", "4222222222222", "4000056655665556", "5555555555554444", "5105105105105100", "5200828282828210",
     "2223003122003222", "378282246310005", "371449635398431", "6011111111111117", "6011000990139424", "3056930009020004", "30569309025904", "38520000023237", "3530111333300000", "3566002020360505",
 )
 # Weights, letters and maps of the national number schemes.

@@ -1,5 +1,5 @@
 """Passes that shorten tool outputs without losing what they say. Each is text -> text; compact() runs them
-in order and keeps a pass only if its result is shorter."""
+in order and keeps a pass only if its result is shorter. Lines are the one thing that takes rows apart."""
 
 from __future__ import annotations
 
@@ -16,40 +16,53 @@ def strip_control_sequences(v: Column) -> Column:
     return F.regexp_replace(plain, "\\x00", "")
 
 
-def progress_shape(line: Column) -> Column:
-    """A progress row with its numbers blanked."""
-    return F.regexp_replace(F.regexp_replace(line, r"[0-9]+(?:[.,:][0-9]+)*", "#"), r"[#=\-.>]{4,}", "~")
+COLOUR = "\\x1b\\[[0-9;]*m"
+PROGRESS = r"[0-9]+(?:\.[0-9]+)?\s?%|\b[0-9]+/[0-9]+\b|\b[0-9]+(?:\.[0-9]+)?\s?(?:[KMGT]i?B|[kMG]B|B)(?:/s)?\b"
 
 
-def runs(line_array: Column) -> Column:
-    """Lines as array<struct<line,n>> of equal neighbours."""
-    start = F.array().cast("array<struct<line:string,n:int>>")
+def progress_shape(line: Column) -> Column:
+    """A progress row (a share, a count of a total, a size or a rate) with its numbers blanked; null for other lines."""
+    plain = F.regexp_replace(line, COLOUR, "")
+    return F.when(plain.rlike(PROGRESS), F.regexp_replace(plain, r"[0-9]+(?:\.[0-9]+)?", "#"))
 
-    def step(acc: Column, line: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        again = (F.size(acc) > 0) & (last["line"] == line)
-        grown = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["line"].alias("line"), (last["n"] + 1).alias("n"))))
-        return F.when(again, grown).otherwise(F.concat(acc, F.array(F.struct(line.alias("line"), F.lit(1).alias("n")))))
 
-    return F.aggregate(line_array, start, step)
+def _islands(lines: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """Adds a number for each run of neighbours with an equal value."""
+    by = Window.partitionBy(key).orderBy("pos")
+    marked = lines.withColumn("v", value)
+    new = F.when(F.lag("v").over(by).eqNullSafe(F.col("v")) & (F.lag("pos").over(by) == F.col("pos") - 1), 0).otherwise(1)
+    return marked.withColumn("new", new).withColumn(name, F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("v", "new")
 
 
 def collapse_repeated_lines(rows: DataFrame, text: str = "text", key: str = "doc_id", least: int = 10, blank: int = 4) -> DataFrame:
-    """key, text, n_collapsed: runs of `least` equal lines (`blank` empty ones) become one line and a note.
+    """key, text, n_collapsed: runs of `least` equal lines become one line and a note, `blank` empty ones become one,
+    and of `least` progress rows that differ in numbers only the first and the last stay.
 
-    Gaps and islands over exploded lines; a text without a run passes through unexploded.
+    Gaps and islands over exploded lines. Texts with fewer lines than a run needs pass whole.
     """
-    lines = rows.select(key, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    by = Window.partitionBy(key).orderBy("pos")
-    new = F.when(F.lag("line").over(by).eqNullSafe(F.col("line")), 0).otherwise(1)
-    island = lines.withColumn("new", new).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    runs_of = island.groupBy(key, "run").agg(F.min("pos").alias("pos"), F.first("line").alias("line"), F.count(F.lit(1)).alias("n"))
-    long = F.when(F.trim("line") == "", F.col("n") >= blank).otherwise(F.col("n") >= least)
-    note = F.format_string("%s\n[the line above %d times]", F.col("line"), F.col("n"))
-    plain = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.col("line")), "\n")
-    shown = F.when(long & (F.trim("line") == ""), F.col("line")).when(long, note).otherwise(plain)
-    listed = runs_of.select(key, "pos", shown.alias("s"), long.alias("long")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("all"), F.count_if(F.col("long")).alias("n_collapsed"))
-    return listed.select(key, F.array_join("all.s", "\n").alias(text), "n_collapsed")
+    many = F.size(F.split(F.col(text), "\n", -1)) >= min(least, blank)
+    short = rows.where(~F.coalesce(many, F.lit(False))).select(key, F.col(text), F.lit(0).cast("long").alias("n_collapsed"))
+    lines = rows.where(many).select(key, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    equal = _islands(lines, key, F.col("line"), "run")
+    of_run = Window.partitionBy(key, "run")
+    empty = F.trim("line") == ""
+    sized = equal.withColumn("n", F.count(F.lit(1)).over(of_run)).withColumn("in_run", F.when(empty, F.col("n") >= blank).otherwise((F.col("n") >= least) & (F.trim(F.regexp_replace("line", COLOUR, "")) != "")))
+    shape = F.when(~F.col("in_run"), progress_shape(F.col("line")))
+    # lines without a shape are runs of their own
+    similar = _islands(sized, key, F.coalesce(shape, F.concat(F.lit("\0"), F.col("pos").cast("string"))), "same")
+    of_same = Window.partitionBy(key, "same")
+    counted = similar.withColumns({"m": F.count(F.lit(1)).over(of_same), "first": F.min("pos").over(of_same), "last": F.max("pos").over(of_same), "run_first": F.min("pos").over(of_run), "shape": shape})
+    in_same = F.col("shape").isNotNull() & (F.col("m") >= least)
+    shown = (
+        F.when(F.col("in_run") & (F.col("pos") > F.col("run_first")), F.lit(None)).when(F.col("in_run") & empty, F.lit(""))
+        .when(F.col("in_run"), F.format_string("%s\n[%d more identical lines]", F.col("line"), F.col("n") - 1))
+        .when(in_same & (F.col("pos") == F.col("first")), F.format_string("%s\n[%d similar progress lines]", F.col("line"), F.col("m") - 2))
+        .when(in_same & (F.col("pos") < F.col("last")), F.lit(None)).otherwise(F.col("line"))
+    )
+    starts = (F.col("in_run") & (F.col("pos") == F.col("run_first"))) | (in_same & (F.col("pos") == F.col("first")))
+    kept = counted.select(key, "pos", shown.alias("s"), starts.alias("starts"))
+    listed = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("pos", "s")))).alias("all"), F.count_if(F.col("starts")).alias("n_collapsed"))
+    return listed.select(key, F.array_join("all.s", "\n").alias(text), "n_collapsed").unionByName(short)
 
 
 TIMESTAMP = r"^(?:\[?[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]+)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?\]?|[A-Z][a-z]{2} [ 0-9][0-9] [0-9]{2}:[0-9]{2}:[0-9]{2}) ?"
@@ -62,12 +75,17 @@ def strip_log_timestamps(v: Column, least: int = 10) -> Column:
     return F.when(stamped >= least, F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, TIMESTAMP, "")), "\n")).otherwise(v)
 
 
+BLOB_HEAD = 12
+
+
 def collapse_blobs(v: Column, least: int = 1000) -> Column:
-    """Base64 runs of so many characters, with 8 different ones among the first 64, become a note."""
-    pieces = F.split(v, rf"[A-Za-z0-9+/=]{{{least},}}", -1)
-    blobs = F.regexp_extract_all(v, F.lit(rf"[A-Za-z0-9+/=]{{{least},}}"), F.lit(0))
+    """Base64 or hexadecimal runs of so many characters, with 8 different ones among the first 64, become their
+    length and first characters."""
+    pattern = rf"[A-Za-z0-9+/_-]{{{least},}}+={{0,2}}"
+    pieces, blobs = F.split(v, pattern, -1), F.regexp_extract_all(v, F.lit(pattern), F.lit(0))
     varied = lambda b: F.size(F.array_distinct(F.split(F.left(b, F.lit(64)), ""))) >= 8
-    shown = F.transform(blobs, lambda b: F.when(varied(b), F.concat(F.lit("["), F.length(b).cast("string"), F.lit(" characters of base64]"))).otherwise(b))
+    note = lambda b: F.concat(F.lit("[encoded blob, "), F.length(b).cast("string"), F.lit(" chars, starting "), F.left(b, F.lit(BLOB_HEAD)), F.lit("]"))
+    shown = F.transform(blobs, lambda b: F.when(varied(b), note(b)).otherwise(b))
     return F.when(F.size(blobs) == 0, v).otherwise(F.array_join(F.flatten(F.zip_with(pieces, F.concat(shown, F.array(F.lit(""))), lambda p, s: F.array(p, s))), ""))
 
 
@@ -78,16 +96,21 @@ def minify_json(v: Column) -> Column:
     return F.when(F.trim(v).rlike(r"^[\[{]") & F.call_function("try_parse_json", v).isNotNull(), small).otherwise(v)
 
 
-PASSES = (strip_control_sequences, strip_log_timestamps, collapse_blobs, minify_json)
+def _shorter(old: Column, new: Column) -> Column:
+    return F.when(F.length(new) < F.length(old), new).otherwise(old)
 
 
-def compact(v: Column, least: int = MIN_CHARS) -> Column:
-    """All passes that work on a text alone, on texts of some length."""
-    out = v
-    for one in PASSES:
-        shorter = one(out)
-        out = F.when(F.length(shorter) < F.length(out), shorter).otherwise(out)
-    return F.when(F.length(v) >= least, out).otherwise(v)
+def compact(rows: DataFrame, text: str = "text", key: str = "doc_id", least: int = MIN_CHARS) -> DataFrame:
+    """key, text: texts of some length after all five passes, each kept only if its result is shorter. Only texts
+    that are long enough are cut into lines."""
+    long = F.length(text) >= least
+    plain = rows.where(~F.coalesce(long, F.lit(False))).select(key, text)
+    cleared = rows.where(long).select(key, _shorter(F.col(text), strip_control_sequences(F.col(text))).alias(text))
+    collapsed = collapse_repeated_lines(cleared, text, key).select(key, F.col(text).alias("collapsed"))
+    out = cleared.join(collapsed, key).select(key, _shorter(F.col(text), F.col("collapsed")).alias(text))
+    for one in (strip_log_timestamps, collapse_blobs, minify_json):
+        out = out.select(key, _shorter(F.col(text), one(F.col(text))).alias(text))
+    return out.unionByName(plain)
 
 
 def rare_categories(values: DataFrame, doc: str, field: str, value: str) -> DataFrame:
@@ -124,3 +147,13 @@ def crushed(items: DataFrame, doc: str = "doc_id", pos: str = "pos", rare: str =
     marked = items.withColumns({"n_items": n, "nth_rare": nth_rare})
     keep = (F.col("n_items") < least) | (F.col(pos) < first) | (F.col(pos) >= F.col("n_items") - last) | (F.col(rare) & (F.col("nth_rare") <= most))
     return marked.where(keep).drop("n_items", "nth_rare")
+
+
+def with_gap_markers(kept: DataFrame, n_items: Column, doc: str = "doc_id", pos: str = "pos", item: str = "item") -> DataFrame:
+    """doc, items: kept items of an array in order, with a note for each gap between them and at its end."""
+    before = F.coalesce(F.lag(pos).over(Window.partitionBy(doc).orderBy(pos)), F.lit(-1))
+    note = lambda n: F.when(n > 0, F.concat(F.lit("["), n.cast("string"), F.lit(" similar item"), F.when(n > 1, "s").otherwise(""), F.lit(" omitted]")))
+    marked = kept.withColumns({"gap": note(F.col(pos) - before - 1), "n_items": n_items})
+    listed = marked.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), "gap", F.col(item).cast("string").alias("item")))).alias("all"), (F.max("n_items") - F.max(pos) - 1).alias("rest"))
+    parts = F.flatten(F.transform("all", lambda x: F.array(x["gap"], x["item"])))
+    return listed.select(doc, F.array_compact(F.concat(parts, F.array(note(F.col("rest"))))).alias("items"))

@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import re
-import shlex
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +17,6 @@ COPIES = r"(?i)(?:^|[;&|\s(])(?:cp|mv|install|dd|tee|rsync)\s|[^0-9&>]>{1,2}\s*[
 DESTROYS = r"(?i)\bgit\s+(?:[^|;&]*\s)?(?:push\s[^|;&]*(?:--force\b|-f\b|--force-with-lease)|reset\s[^|;&]*--hard\b|clean\s[^|;&]*-\w*f|branch\s[^|;&]*-D\b|checkout\s+(?:--\s+)?\.(?:\s|$)|restore\s+\.|stash\s+(?:drop|clear)|reflog\s+expire|filter-branch|update-ref\s+-d)"
 SENDS_COOKIE = r"(?i)\b(?:curl|wget)\b[^|;&]*(?:\s-b\s|--cookie\b|--load-cookies\b|-H\s*['\"]?Cookie:)"
 UNMASKS = r"(?i)\brot13\b|\btr\s+['\"]?[a-z]-?[a-z]|codecs\.(?:de|en)code\([^)]*rot|y/[a-z]+/[a-z]+/i?"
-READ_ONLY = frozenset("cat head tail less more ls pwd echo wc sort uniq grep rg egrep fgrep stat file du df tree which type diff cmp printenv date whoami id uname jq cut nl od xxd strings basename dirname realpath readlink test true false sed awk find git".split())
 
 
 def secret_path(path: Column) -> Column:
@@ -98,48 +94,43 @@ def decide(calls: DataFrame, deny: list[str], prompt: list[str], allow: list[str
     return calls.withColumn("decision", F.when(any_of(deny), "deny").when(any_of(prompt), "prompt").when(any_of(allow), "allow"))
 
 
-def programs(command: str | None) -> list[list[str]]:
-    """The argument vector of each program of a command line; what does not parse is taken at white space."""
-    try:
-        words = list(shlex.shlex(command or "", posix=True, punctuation_chars=";&|()\n"))
-    except ValueError:
-        words = (command or "").split()
-    out: list[list[str]] = [[]]
-    for w in words:
-        if set(w) <= set(";&|()\n"):
-            out.append([])
-        else:
-            out[-1].append(w)
-    return [p for p in out if p]
-
-
-def read_only(argv: list[str]) -> bool:
-    while argv and re.fullmatch(r"\w+=.*", argv[0]):
-        argv = argv[1:]
-    if not argv or argv[0].rsplit("/", 1)[-1] not in READ_ONLY or any(w.startswith(">") for w in argv):
-        return not argv
-    name, rest = argv[0].rsplit("/", 1)[-1], argv[1:]
-    if name == "sed":
-        return not any(w.startswith("-i") or w == "--in-place" for w in rest)
-    if name == "find":
-        return not any(w in ("-delete", "-exec", "-execdir", "-ok", "-fprint") for w in rest)
-    if name == "git":
-        return bool(rest) and rest[0] in ("status", "log", "diff", "show", "blame", "ls-files", "rev-parse", "describe", "grep")
-    return True
-
-
-def with_programs(calls: DataFrame, command: str = "command") -> DataFrame:
-    """Adds programs (array of argument vectors) and only_reads, in Arrow batches: shell syntax needs a tokeniser."""
-
-    @F.pandas_udf("struct<programs:array<array<string>>,only_reads:boolean>")
-    def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            all_programs = [programs(c) for c in batch]
-            yield pd.DataFrame({"programs": all_programs, "only_reads": [all(map(read_only, p)) and ">" not in (c or "") for p, c in zip(all_programs, batch, strict=True)]})
-
-    return calls.withColumn("parsed", parsed(F.col(command))).select(*calls.columns, "parsed.programs", "parsed.only_reads")
-
-
-def path_candidates(words: Column) -> Column:
-    """Words of a command that may name files."""
-    return F.filter(words, lambda w: ~F.startswith(w, F.lit("-")) & w.rlike(r"[./~]|^\w[\w-]*$") & ~w.rlike("^[a-z]+://"))
+# What names of tools say that they do, and tools that the harness runs for itself.
+ACTS = r"(?i)(?:write|edit|delete|remove|create|update|send|post|upload|exec|run|shell|terminal|push|deploy|move|rename|publish|commit|merge|drop|kill)"
+OWN_TOOLS = r"(?i)^(?:todo|task|cron|plan|update_plan|skill|agent|sendmessage)"
+GUARDED_TOOLS = ("Bash", "bash", "Read", "Write", "Edit", "MultiEdit", "Glob", "Grep", "LS", "WebFetch", "WebSearch")
+GUARDED_ARGUMENTS = ("command", "cmd", "script", "file_path", "path", "patch", "url")
+INPUT_NOTE = r"\[[0-9]+ (?:more )?characters? of this earlier call's input (?:left out|removed)"
+
+
+def unguarded_tools(offers: DataFrame, key: str = "request", tool: str = "tool", arguments: str = "arguments", reviewed: tuple[str, ...] = ()) -> DataFrame:
+    """key, tool: tools offered whose names say that they act and that no guard reads."""
+    name = F.col(tool)
+    read = name.isin(*GUARDED_TOOLS) | name.rlike(OWN_TOOLS) | F.arrays_overlap(F.coalesce(F.col(arguments), F.array().cast("array<string>")), F.array(*[F.lit(a) for a in GUARDED_ARGUMENTS]))
+    for glob in reviewed:
+        read = read | name.rlike(glob_pattern(glob))
+    return offers.where(name.rlike(ACTS) & ~read).select(key, tool).distinct()
+
+
+def holds_input_note(arguments: Column) -> Column:
+    """A call whose input starts or ends with a note that stood for an earlier input: never what was meant."""
+    strings = F.regexp_extract_all(arguments, F.lit(r'"((?:[^"\\]|\\.)*+)"'), F.lit(1))
+    return F.exists(strings, lambda v: v.rlike(r"^(?:\s|\\[nrt])*" + INPUT_NOTE) | v.rlike(INPUT_NOTE + r"[^\]]*\](?:\s|\\[nrt])*$"))
+
+
+def spelled_out(text: Column) -> Column:
+    """Runs of byte escapes in a text, read back: \\x41, %41, 0x41, \\101 and \\u0041, three units or more."""
+    text = F.replace(text, F.lit("\\\\"), F.lit("\\"))  # JSON doubles backslashes
+    hexes = lambda pattern, unit: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda r: F.array_join(F.regexp_extract_all(r, F.lit(unit), F.lit(1)), ""))
+    found = F.concat(
+        hexes(r"(?:\\x[0-9A-Fa-f]{2}){3,}", r"\\x(..)"), hexes(r"(?:%[0-9A-Fa-f]{2}){3,}", "%(..)"), hexes(r"(?:0x[0-9A-Fa-f]{2}[,\s]*){3,}", "0x(..)"), hexes(r"(?:\\u00[0-9A-Fa-f]{2}){3,}", r"\\u00(..)"),
+        F.transform(F.regexp_extract_all(text, F.lit(r"(?:\\[0-3][0-7]{2}){3,}"), F.lit(0)), lambda r: F.array_join(F.transform(F.regexp_extract_all(r, F.lit(r"\\([0-7]{3})"), F.lit(1)), lambda o: F.lpad(F.conv(o, 8, 16), 2, "0")), "")),
+    )
+    return F.filter(F.transform(found, lambda h: F.call_function("try_validate_utf8", F.unhex(h).cast("string"))), lambda v: v.isNotNull())
+
+
+def spells_masked(calls: DataFrame, values: DataFrame, key: str = "call_id", arguments: str = "arguments") -> DataFrame:
+    """key, value: calls whose arguments spell a masked value byte by byte. Decoded runs are cut into words and
+    joined to the values (column value), so the cost does not grow with their number."""
+    decoded = calls.select(key, F.explode(spelled_out(F.col(arguments))).alias("run"))
+    words = decoded.select(key, F.explode(F.array_distinct(F.concat(F.array("run"), F.split("run", r"[\s,;\"']+")))).alias("value"))
+    return words.join(values.select("value").distinct(), "value").select(key, "value").distinct()

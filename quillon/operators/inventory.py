@@ -92,3 +92,37 @@ def spelled(value: Column) -> Column:
         F.concat(F.lit("\\x"), F.array_join(pairs, "\\x")), F.concat(F.lit("%"), F.upper(F.array_join(pairs, "%"))), F.concat(F.lit("\\"), F.array_join(octal, "\\")), F.concat(F.lit("\\u"), F.array_join(units, "\\u")),
         F.array_join(F.transform(pairs, lambda p: F.concat(F.lit("0x"), p)), ", "),
     )
+
+
+def os_identity(hosts: DataFrame) -> DataFrame:
+    """hosts: source, user, host, home (a row per machine) -> source, kind, literal. System accounts and names that
+    every machine has are left out."""
+    common = ("root", "admin", "user", "ubuntu", "debian", "runner", "localhost", "localhost.localdomain")
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("literal")) for k in ("user", "host", "home")]))
+    found = hosts.select("source", kinds.alias("x")).select("source", "x.kind", "x.literal")
+    return found.where(F.length("literal") >= 3).where(~F.lower("literal").isin(*common) & ~F.col("literal").isin("/root", "/home/user")).distinct()
+
+
+def repository_remotes(files: DataFrame, most: int = 100) -> DataFrame:
+    """files: source (a repository), path, text of git configurations -> kind, literal: hosts and owners of remotes on
+    hosts of one's own, each once, `most` of a repository."""
+    from quillon.sources.wire import remote_host, remote_owner, remote_urls
+
+    urls = files.where(F.col("path").rlike(r"(?:^|/)\.git/config$")).select("source", F.explode(remote_urls(F.col("text"))).alias("url"))
+    nth = F.row_number().over(Window.partitionBy("source").orderBy("url"))
+    kept = urls.distinct().withColumn("nth", nth).where(F.col("nth") <= most)
+    host = F.lower(remote_host(F.col("url")))
+    hosts = kept.select(F.lit("host").alias("kind"), host.alias("literal")).where(~F.col("literal").isin(*PUBLIC_HOSTS))
+    owners = kept.select(F.lit("owner").alias("kind"), remote_owner(F.col("url")).alias("literal"))
+    return hosts.union(owners).where(F.length("literal") >= 3).distinct()
+
+
+def tailnet_names(status: DataFrame, text: str = "text") -> DataFrame:
+    """source, kind, literal: machine and network names of a tailnet's JSON status, own machine and peers."""
+    peer = "struct<HostName:string,DNSName:string>"
+    read = F.from_json(text, f"struct<Self:{peer},Peer:map<string,{peer}>,MagicDNSSuffix:string>")
+    rows = status.select("source", read.alias("s"))
+    machines = rows.select("source", F.explode(F.concat(F.array("s.Self"), F.coalesce(F.map_values("s.Peer"), F.array().cast(f"array<{peer}>")))).alias("p"))
+    hosts = machines.select("source", F.explode(F.array("p.HostName", F.regexp_replace("p.DNSName", r"\.$", ""))).alias("literal")).select("source", F.lit("host").alias("kind"), F.lower("literal").alias("literal"))
+    nets = rows.select("source", F.lit("host").alias("kind"), F.lower("s.MagicDNSSuffix").alias("literal"))
+    return hosts.union(nets).where((F.length("literal") >= 3) & (F.col("literal") != "localhost")).distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -90,6 +91,9 @@ def read_misses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_escape = re.compile(r"(?<!\\)(?:\\\\)*(\\(?:u[0-9A-Fa-f]{0,3})?|)$")
+
+
 def clamped(text: str | None, limit: int) -> str | None:
     """A JSON text cut to `limit` characters, then to where its values are whole with the open brackets closed.
 
@@ -123,7 +127,10 @@ def clamped(text: str | None, limit: int) -> str | None:
             cuts.append((at, "".join(reversed(closing))))
         at += 1
     end = "".join(reversed(closing))
-    cuts.append((len(head), '"' + end if quoted >= 0 and at == len(head) else end))
+    if quoted >= 0:  # within a string: before an escape that is not whole
+        cuts.append((len(head) - len(_escape.search(head, quoted + 1)[1]), '"' + end))
+    else:
+        cuts.append((len(head), end))
     for cut, close in reversed(cuts):
         try:
             json.loads(head[:cut] + close)

@@ -28,7 +28,8 @@ class Rule:
     hint: str = ""
     min_entropy: float = 0.0
     validator: str = ""
-    context: tuple[str, ...] = ()  # one of them must be near
+    context: tuple[str, ...] = ()  # one of them must be near, unless not required
+    required: bool = True  # without a context word near, a match is dropped; else its score is 0.4 and not 1
     excluded: tuple[str, ...] = ()  # none of them may be near
     window: int = 3  # words, of 8 characters each, on either side
     label: str = ""

@@ -97,16 +97,17 @@ def rule_findings(name: str, rule: Rule) -> Column:
         gates.append(lambda m: T.entropy(m["value"]) >= rule.min_entropy)
     if rule.validator:
         gates.append(lambda m: validator(rule.validator)(m["value"]))
-    if rule.context:
+    if rule.context and rule.required:
         gates.append(lambda m: has_near_word(text, m, rule.context, rule.window))
     if rule.excluded:
         gates.append(lambda m: ~has_near_word(text, m, rule.excluded, rule.window))
     long = f"filter({found}, m -> length(m.value) >= {3 if rule.category == 'pii' else 1})"
-    score = 1.0 if rule.context else 0.4
-    row = f"m -> named_struct('rule_id', {sql_text(rule.id)}, 'category', '{rule.category}', 'start', m.start, 'end', m.end, 'value', m.value, 'score', cast({score} as double))"
+    row = f"m -> named_struct('rule_id', {sql_text(rule.id)}, 'category', '{rule.category}', 'start', m.start, 'end', m.end, 'value', m.value, 'score', cast(1 as double))"
     rows = F.expr(f"transform({long}, {row})")
     if gates:
         rows = F.filter(rows, lambda m: functools.reduce(lambda a, b: a & b, [g(m) for g in gates]))
+    if rule.context and not rule.required:
+        rows = F.transform(rows, lambda m: m.withField("score", F.when(has_near_word(text, m, rule.context, rule.window), 1.0).otherwise(0.4)))
     worth = f"contains({quoted}, {sql_text(rule.hint)})" if rule.hint else f"{quoted} rlike {sql_text(rule.pattern)}"
     if rule.needs:
         worth = f"`{_need(rule.needs)}` and {worth}"

@@ -38,23 +38,45 @@ def representatives(findings: DataFrame, keys: tuple[str, ...] = ("doc_id",)) ->
     return first.select(*keys, "island", F.col("from").alias("start"), F.col("to").alias("end"), "rule_id", "category", "value")
 
 
-def propagated(findings: DataFrame, texts: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), min_length: int = 4) -> DataFrame:
-    """Findings, and every other place of their values in the same text.
+def starts_of(text: Column, value: Column) -> Column:
+    """Every place of a value in a text, those that overlap too: the text is cut before each with a look-ahead, and
+    lengths are summed. A null or empty value is nowhere."""
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    pieces = F.split(text, F.when(F.length(value) > 0, quoted).otherwise(F.lit("(?!)")), -1)
+    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["all"], F.array(acc["at"] + F.length(p))).alias("all"))
+    cuts = F.aggregate(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), step, lambda acc: acc["all"])
+    none = F.array().cast("array<int>")
+    return F.concat(F.when(F.startswith(text, value) & (F.length(value) > 0), F.array(F.lit(0))).otherwise(none), F.coalesce(cuts, none))
 
-    A value's copies are sought with literal patterns, per (text, value); a copy of personal data within a
-    longer identifier is left alone.
+
+#: Values shorter than this are fragments (a local part of one letter, say), whose copies mean nothing.
+LEAST_VALUE = 2
+
+
+def propagated(findings: DataFrame, texts: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Findings, and every other place of their values in the same text, overlapping ones too.
+
+    A copy of personal data within a longer identifier is left alone. Numbers of JSON documents and customer
+    numbers of digits only are known by their labels and not sought; strings of documents (column json_kind)
+    are sought as they are written, without quotes, and decoded. A text meets its values once, as an array.
     """
-    values = findings.where(F.length("value") >= min_length)
+    kind = F.col("json_kind") if "json_kind" in findings.columns else F.lit(None).cast("string")
+    bare = (F.col("rule_id") == "pii-customer-number") & F.col("value").rlike("^[0-9]+$")
+    sought = findings.withColumn("kind", kind).where((F.coalesce(F.col("kind"), F.lit("")) != "number") & ~bare)
+    forms = F.when((F.col("kind") == "string") & F.col("value").rlike('^".*"$'), F.array("value", F.expr("substring(value, 2, length(value) - 2)"), F.get(F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>"), F.lit(0)))).otherwise(F.array("value"))
+    values = sought.withColumn("value", F.explode(F.array_compact(F.array_distinct(forms)))).where(F.length("value") >= LEAST_VALUE)
     values = values.groupBy(*keys, "value").agg(F.min(F.struct((F.col("category") != "secret").alias("pii"), "rule_id", "category")).alias("best"))
-    values = values.select(*keys, "value", "best.rule_id", "best.category")
-    rows = texts.select(*keys, F.col(text).alias("whole")).join(values, list(keys))
-    pieces = F.split(F.col("whole"), F.concat(F.lit("\\Q"), F.col("value"), F.lit("\\E")), -1)
-    step = lambda acc, p: F.struct((acc["at"] + F.length(p) + F.length("value")).alias("at"), F.concat(acc["all"], F.array(acc["at"] + F.length(p))).alias("all"))
-    starts = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), step, lambda acc: acc["all"])
-    placed = rows.select(*keys, "rule_id", "category", F.explode(starts).alias("start"), (F.length("value")).alias("n"), "value", "whole")
-    placed = placed.withColumn("end", F.col("start") + F.col("n"))
-    inside = F.substring("whole", F.greatest(F.col("start"), F.lit(0)), F.when(F.col("start") > 0, 1).otherwise(0)).rlike(r"[\p{L}\p{N}_]") | F.substring(F.col("whole"), F.col("end") + 1, F.lit(1)).rlike(r"[\p{L}\p{N}_]")
-    copies = placed.where((F.col("category") == "secret") | ~inside).select(*keys, "rule_id", "category", "start", "end", "value")
+    listed = values.groupBy(*keys).agg(F.collect_list(F.struct("value", "best.rule_id", "best.category")).alias("sought"))
+    whole = F.col(text)
+    identifier = r"[\p{L}\p{N}_]"
+
+    def places(v: Column) -> Column:
+        n = F.length(v["value"])
+        clear = lambda at: (v["category"] == "secret") | ~(F.when(at > 0, F.substring(whole, at, F.lit(1))).otherwise("").rlike(identifier) | F.substring(whole, at + n + 1, F.lit(1)).rlike(identifier))
+        return F.transform(F.filter(starts_of(whole, v["value"]), clear), lambda at: F.struct(v["rule_id"].alias("rule_id"), v["category"].alias("category"), at.alias("start"), (at + n).alias("end"), v["value"].alias("value")))
+
+    rows = texts.select(*keys, whole).join(listed, list(keys))
+    copies = rows.select(*keys, F.explode(F.flatten(F.transform("sought", places))).alias("c")).select(*keys, "c.*")
     own = findings.select(*keys, "rule_id", "category", "start", "end", "value")
     return own.union(copies).dropDuplicates([*keys, "start", "end", "value"])
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import hmac_sha256
+from quillon.functions.validators import ipv6_groups
 
 TEST_KEY = b"quillon test key"
 CONSONANTS, VOWELS = "bcdfghjklmnprstvwz", "aeiou"
@@ -97,7 +98,7 @@ def email(value: Column, key: bytes = TEST_KEY) -> Column:
 def stand_in(kind: Column, value: Column, key: bytes = TEST_KEY) -> Column:
     """Dispatch by kind. A result equal to the value is marked, so that it never passes for one."""
     plain = (
-        F.when(kind == "email", email(value, key)).when(kind == "ipv4", ipv4(value, key)).when(kind == "mac", mac(value, key)).when(kind == "host", host(value, key)).when(kind == "user", user(value, key))
+        F.when(kind == "email", email(value, key)).when(kind == "ipv4", ipv4(value, key)).when((kind == "ipv6") & ipv6_groups(value).isNotNull(), ipv6(ipv6_groups(value), key)).when(kind == "mac", mac(value, key)).when(kind == "host", host(value, key)).when(kind == "user", user(value, key))
         .when(kind == "home", same_shape(value, "user", key)).when(kind == "digits", same_shape(value, "digits", key)).when(kind == "name", same_shape(value, "name", key)).when(kind == "secret", same_shape(value, "secret", key)).otherwise(same_shape(value, "label", key))
     )
     return F.when(plain == value, F.concat(plain, F.lit("-x"))).otherwise(plain)
@@ -129,13 +130,19 @@ def numbered_tokens(findings: DataFrame, order: tuple[str, ...] = ("doc_id", "st
     return first.select("category", "value", F.concat(F.lit("["), F.upper("category"), F.lit("_"), n.cast("string"), F.lit("]")).alias("token"))
 
 
+#: A text as tokens and what is between them: escapes of JSON, white space, words without marks at their ends, marks.
+_MARKS = r"\s\"'(),;<>\[\]{}\\"
+WORD = rf"[^{_MARKS}]*[^{_MARKS}.:!?]"
+PIECES = rf"\\u[0-9a-fA-F]{{4}}|\\.|\s+|{WORD}|[.:!?]+|[\"'(),;<>\[\]{{}}\\]"
+
+
 def swapped_back(rows: DataFrame, pairs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Texts with stand-ins that stand as whole tokens replaced by their values; ambiguous ones stay.
 
-    Texts are split at white space and joined to the mapping by token, so the cost does not grow with the
+    Texts are split at white space and marks and joined to the mapping by token, so the cost does not grow with the
     number of stand-ins; white space comes back as it was.
     """
-    tokens = F.regexp_extract_all(F.col(text), F.lit(r"\s+|[^\s\"'(),;<>\[\]{}]+|[\"'(),;<>\[\]{}]"), F.lit(0))
+    tokens = F.regexp_extract_all(F.col(text), F.lit(PIECES), F.lit(0))
     exploded = rows.select(*keys, F.posexplode_outer(tokens).alias("pos", "token"))
     known = resolved(pairs).where("value is not null").select(F.col("stand_in").alias("token"), "value")
     swapped = exploded.join(known, "token", "left")

@@ -10,6 +10,7 @@ from quillon.operators import compaction as K
 from quillon.operators import conversations as C
 from quillon.operators import guards as G
 from quillon.operators import measures as M
+from quillon.operators import shell as S
 from quillon.plans.detection import table
 
 QUERIES: dict = {}
@@ -31,11 +32,10 @@ def conversation_turns(spark, sf_dir):
     return C.sizes(table(spark, sf_dir, "conversations")).drop("text")
 
 
-@query("typed_prompts", """WITH t AS (SELECT conv_id, turn, role, trim(text) AS text FROM conversations), f AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM t WHERE role = 'user' AND length(text) > 0)
-SELECT conv_id, n AS n_prompts, left(regexp_extract(text, '^([^\\n]*?(?:[.!?](?:\\s)|$|\\n))', 1), 80) AS x FROM f WHERE k = 1""".replace("left(regexp_extract(text, '^([^\\n]*?(?:[.!?](?:\\s)|$|\\n))', 1), 80) AS x", "length(text) > 0 AS has_first"))
+@query("typed_prompts", """WITH t AS (SELECT conv_id, turn, role, trim(text) AS text FROM conversations), f AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM t WHERE role = 'user' AND length(text) > 0),
+l AS (SELECT conv_id, n, split_part(ltrim(text), chr(10), 1) AS line FROM f WHERE k = 1) SELECT conv_id, n AS n_prompts, left(CASE WHEN regexp_matches(line, '[.!?]\\s') THEN regexp_extract(line, '^(.*?[.!?])\\s', 1) ELSE line END, 80) AS first_prompt FROM l""")
 def typed_prompts(spark, sf_dir):
-    found = C.typed_prompts(table(spark, sf_dir, "conversations")).where("n_prompts > 0")
-    return found.select("conv_id", "n_prompts", (F.length("first_prompt") > 0).alias("has_first"))
+    return C.typed_prompts(table(spark, sf_dir, "conversations")).where("n_prompts > 0")
 
 
 @query("conversation_title", """WITH t AS (SELECT conv_id, turn, regexp_replace(trim(text), '\\s+', ' ', 'g') AS t FROM conversations WHERE role = 'user'), f AS (SELECT conv_id, arg_min(t, turn) AS t FROM t GROUP BY conv_id)
@@ -87,15 +87,15 @@ def repeated_lines(spark, sf_dir):
     return K.collapse_repeated_lines(table(spark, sf_dir, "documents"), least=2).select("doc_id", "n_collapsed")
 
 
-@query("log_timestamp_strip", "SELECT event_type, md5(string_agg('event ' || event_id::VARCHAR, chr(10) ORDER BY event_id)) AS stripped FROM events WHERE event_id < 2000 GROUP BY event_type")
+@query("log_timestamp_strip", """SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, md5(string_agg(CASE WHEN n >= 10 THEN '' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ ') END || 'event ' || event_id::VARCHAR, chr(10) ORDER BY event_id)) AS stripped FROM (SELECT *, count(*) OVER (PARTITION BY event_type, date_trunc('day', ts)) AS n FROM events) GROUP BY 1, 2""")
 def log_timestamp_strip(spark, sf_dir):
-    """Logs made of events, with a time stamp before each line, that are taken off again."""
+    """Logs of a day and type of event, with a time stamp before each line, that are taken off again."""
     line = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" event "), F.col("event_id").cast("string"))
-    logs = table(spark, sf_dir, "events").groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("all"))
-    return logs.select("event_type", F.md5(K.strip_log_timestamps(F.array_join("all.line", "\n"))).alias("stripped"))
+    logs = table(spark, sf_dir, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("all"))
+    return logs.select("event_type", "day", F.md5(K.strip_log_timestamps(F.array_join("all.line", "\n"))).alias("stripped"))
 
 
-@query("json_minify", "SELECT event_id, replace(props, ' ', '') AS small FROM events WHERE event_id % 10 = 0")
+@query("json_minify", "SELECT event_id, replace(props, ' ', '') AS small FROM events")
 def json_minify(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", K.minify_json(F.col("props")).alias("small"))
 
@@ -114,7 +114,7 @@ def blob_collapse(spark, sf_dir):
 
 @query("compact_outputs")
 def compact_outputs(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(K.compact(F.col("html"))).alias("text_hash"))
+    return K.compact(table(spark, sf_dir, "pages").select("page_id", "html"), "html", "page_id").select("page_id", F.md5("html").alias("text_hash"))
 
 
 @query("crush_rare_values", """WITH v AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n_value FROM orders GROUP BY 1, 2), c AS (SELECT *, sum(n_value) OVER w AS n_items, count(*) OVER w AS n_values FROM v WINDOW w AS (PARTITION BY o_orderstatus)),
@@ -198,11 +198,21 @@ def cold_starts(spark, sf_dir):
     return M.cold_starts(table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id")), "user_id", "ts", 3600).select("event_id", "cold")
 
 
-@query("cache_breaks", """WITH r AS (SELECT conv_id, turn, role, text, lag(role) OVER w AS pr FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), b AS (SELECT conv_id, turn, CASE WHEN pr IS NOT NULL AND pr <> role THEN 0 END AS broke_at FROM r) SELECT CASE WHEN turn % 3 = 0 THEN 'agent' WHEN turn % 3 = 1 THEN 'redaction' ELSE 'shaping' END AS cause, count(*) AS n FROM b WHERE broke_at IS NOT NULL GROUP BY 1""")
+@query("cache_breaks", """WITH i AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p, turn, (conv_id * 31 + turn * 17) % 5 = 0 AS edits FROM conversations),
+r AS (SELECT conv_id, p, turn, (turn * 7 + conv_id) % (p - 1) AS spot FROM i WHERE p > 2 AND edits) SELECT CASE WHEN turn % 3 = 0 THEN 'agent' WHEN turn % 3 = 1 THEN 'redaction' ELSE 'shaping' END AS cause, count(*) AS n, CAST(sum(spot) AS BIGINT) AS places FROM r GROUP BY 1""")
 def cache_breaks(spark, sf_dir):
-    items = table(spark, sf_dir, "conversations")
-    requests = items.select("conv_id", "turn", F.array(F.col("role")).alias("digests"), (F.col("turn") % 3 == 0).alias("agent_changed"), (F.col("turn") % 3 == 1).alias("redaction_changed"), F.lit(True).alias("shaping_changed"))
-    return M.break_counts(M.cache_breaks(requests))
+    """Requests that grow by an item a time; some have one part changed, at a place that follows from their ids. Each
+    request is held against the one before as it would have been without the change."""
+    so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    grown = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.collect_list(F.sha1(F.concat_ws("/", "conv_id", "turn", "role", "text"))).over(so_far).alias("d"))
+    size, edits = F.size("d"), (F.col("conv_id") * 31 + F.col("turn") * 17) % 5 == 0
+    at = ((F.col("turn") * 7 + F.col("conv_id")) % (size - 1)).cast("int")
+    changed = F.when(edits & (size > 2), F.transform("d", lambda x, i: F.when(i == at, F.concat(x, F.lit("'"))).otherwise(x))).otherwise(F.col("d"))
+    flags = ((F.col("turn") % 3 == 0).alias("agent_changed"), (F.col("turn") % 3 == 1).alias("redaction_changed"), F.lit(True).alias("shaping_changed"))
+    # a pair per item: the request before it, and this one
+    before = grown.select(F.concat_ws("/", "conv_id", "turn").alias("pair"), F.lit(0).alias("nth"), F.expr("slice(d, 1, greatest(size(d) - 1, 0))").alias("digests"), *flags)
+    now = grown.select(F.concat_ws("/", "conv_id", "turn").alias("pair"), F.lit(1).alias("nth"), changed.alias("digests"), *flags)
+    return M.cache_breaks(before.union(now), "pair", "nth").where("broke_at is not null").groupBy("cause").agg(F.count(F.lit(1)).alias("n"), F.sum("broke_at").cast("long").alias("places"))
 
 
 @query("closest_reply", """WITH p AS (SELECT o_custkey AS session, o_orderkey AS id, unnest([1, 2, 3]) AS pos, o_orderpriority, o_orderstatus, o_orderkey FROM orders), x AS (SELECT session, id, pos, CASE pos WHEN 1 THEN o_orderstatus WHEN 2 THEN o_orderstatus || o_orderpriority ELSE o_orderstatus || o_orderpriority || CAST(o_orderkey % 3 AS VARCHAR) END AS prefix FROM p),
@@ -270,7 +280,7 @@ def guard_selectors(spark, sf_dir):
 @query("shell_programs")
 def shell_programs(spark, sf_dir):
     commands = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("cat f"), (F.col("o_orderkey") % 9).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, " | sed -i s/a/b/ x").otherwise(" | grep -c '; x'")).alias("command"))
-    return G.with_programs(commands).select("o_orderkey", F.size("programs").alias("n_programs"), "only_reads")
+    return S.with_programs(commands).select("o_orderkey", F.size("programs").alias("n_programs"), "only_reads")
 
 
 @query("known_value_search", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")

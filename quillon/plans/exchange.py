@@ -87,10 +87,14 @@ def journal_live_rows(spark, sf_dir):
     return W.read_journal(spark, path).select("digest", "seq")
 
 
-@query("mail_domains", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'corp' || CAST(c_nationkey AS VARCHAR) || '.com' ELSE 'firm' || CAST(c_nationkey AS VARCHAR) || '.co.uk' END AS domain FROM customer")
+@query("mail_domains", """SELECT c_custkey, CASE c_custkey % 6 WHEN 1 THEN 'corp' || c_nationkey || '.com' WHEN 2 THEN 'firm' || c_nationkey || '.co.uk' WHEN 4 THEN 'n' || c_nationkey || '.de' END AS domain FROM customer""")
 def mail_domains(spark, sf_dir):
-    k, n = F.col("c_custkey") % 3, F.col("c_nationkey").cast("string")
-    host = F.when(k == 0, F.lit("Gmail.com")).when(k == 1, F.concat(F.lit("mx.corp"), n, F.lit(".com"))).otherwise(F.concat(F.lit("a.firm"), n, F.lit(".co.uk")))
+    """Providers, companies below one and two labels, example domains, trailing dots and forges' relays."""
+    k, n = F.col("c_custkey") % 6, F.col("c_nationkey").cast("string")
+    host = (
+        F.when(k == 0, F.lit("Gmail.com")).when(k == 1, F.concat(F.lit("mx.corp"), n, F.lit(".com"))).when(k == 2, F.concat(F.lit("a.firm"), n, F.lit(".co.uk")))
+        .when(k == 3, F.lit("mail.example.org")).when(k == 4, F.concat(F.lit("N"), n, F.lit(".de."))).otherwise(F.lit("users.noreply.github.com"))
+    )
     return table(spark, sf_dir, "customer").select("c_custkey", W.mail_domain(F.concat(F.lit("x@"), host)).alias("domain"))
 
 
@@ -109,7 +113,7 @@ def hidden_runs(spark, sf_dir):
     return docs.select("doc_id", F.explode(H.hidden_runs(salted)).alias("r")).select("doc_id", F.col("r.at").alias("place"), "r.n")
 
 
-@query("base64_blocks", "SELECT doc_id, md5(left(text, 300)) AS decoded FROM documents WHERE length(text) >= 300")
+@query("base64_blocks", "SELECT doc_id, md5(text) AS decoded FROM documents WHERE strlen(text) >= 18")
 def base64_blocks(spark, sf_dir):
     """Whole texts in base64 within a text, found and decoded; texts too short for a block give none."""
     docs = table(spark, sf_dir, "documents")

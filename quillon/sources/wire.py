@@ -143,13 +143,23 @@ def pages_since(entries: DataFrame, since: int) -> DataFrame:
     return entries.where(F.col("id") > since).orderBy("id")
 
 
-def mail_domain(address: Column, public: tuple[str, ...] = ("gmail.com", "googlemail.com", "outlook.com", "hotmail.com", "yahoo.com", "icloud.com", "proton.me", "protonmail.com", "gmx.de", "gmx.net", "web.de", "aol.com")) -> Column:
-    """The registrable domain of an address; null for public providers."""
-    domain = F.lower(F.substring_index(address, "@", -1))
-    two = F.substring_index(domain, ".", -2)
-    long = two.rlike(r"^(co|com|org|net|ac|gov)\.[a-z]{2}$")
-    registrable = F.when(long, F.substring_index(domain, ".", -3)).otherwise(two)
-    return F.when(F.contains(address, F.lit("@")) & ~registrable.isin(*public), registrable)
+# Free mail providers, forges and their relays, and second-level labels below country codes.
+MAIL_PROVIDERS = (
+    "gmail.com", "googlemail.com", "outlook.com", "outlook.de", "hotmail.com", "live.com", "msn.com", "yahoo.com", "yahoo.de", "ymail.com", "icloud.com", "me.com", "mac.com", "proton.me", "protonmail.com", "pm.me",
+    "gmx.de", "gmx.net", "gmx.at", "gmx.com", "web.de", "t-online.de", "posteo.de", "mailbox.org", "aol.com", "mail.com", "fastmail.com", "hey.com", "tutanota.com", "tuta.io", "zoho.com", "yandex.ru", "mail.ru", "qq.com", "163.com",
+)
+FORGES = ("github.com", "gitlab.com", "bitbucket.org", "codeberg.org")
+SECOND_LEVEL = "co|com|ac|org|net|gov|edu|ne|or"
+
+
+def mail_domain(address: Column, public: tuple[str, ...] = MAIL_PROVIDERS + FORGES) -> Column:
+    """The registrable domain of an address; null for free providers, forges' relays and example domains."""
+    domain = F.regexp_replace(F.lower(F.trim(F.substring_index(address, "@", -1))), r"\.$", "")
+    sound = domain.rlike(r"^[a-z0-9-]+(?:\.[a-z0-9-]+)+$")
+    long = domain.rlike(rf"\.(?:{SECOND_LEVEL})\.[a-z0-9-]+$")
+    registrable = F.when(long, F.substring_index(domain, ".", -3)).otherwise(F.substring_index(domain, ".", -2))
+    own = ~registrable.isin(*public) & ~registrable.rlike(r"^(?:users\.)?noreply\.|^example\.(?:com|org|net)$")
+    return F.when(F.contains(address, F.lit("@")) & sound & own, registrable)
 
 
 def remote_host(url: Column) -> Column:

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.functions import validators as V
-from quillon.operators import compaction, conversations, guards, hidden, inventory, rules, scan, simulation, spans, standins, withhold
+from quillon.operators import compaction, conversations, guards, hidden, inventory, rules, scan, shell, simulation, spans, standins, withhold
 from quillon.streaming import rewrite
 
 
@@ -126,7 +126,7 @@ def test_compaction(spark):
     log = "\n".join(f"2024-01-01T00:00:{k:02d}Z line {k}" for k in range(12))
     assert value(spark, compaction.strip_log_timestamps, log)[0].startswith("line 0\nline 1")
     rows = spark.createDataFrame([(1, "x\n" + "same\n" * 12 + "y")], "doc_id long, text string")
-    assert compaction.collapse_repeated_lines(rows).first().text == "x\nsame\n[the line above 12 times]\ny"
+    assert compaction.collapse_repeated_lines(rows).first().text == "x\nsame\n[11 more identical lines]\ny"
 
 
 def test_first_change(spark):
@@ -137,8 +137,8 @@ def test_first_change(spark):
 def test_guards(spark):
     assert value(spark, guards.secret_path, "/x/.env", "/x/env.py", "~/.ssh/id_rsa") == [True, False, True]
     assert value(spark, guards.destroys_history, "git push --force", "git push", "git reset --hard HEAD~1") == [True, False, True]
-    assert guards.programs("a 'b; c' | d && e") == [["a", "b; c"], ["d"], ["e"]]
-    assert guards.read_only(["sed", "-n", "p"]) and not guards.read_only(["sed", "-i", "p"])
+    assert shell.programs("a 'b; c' | d && e") == [["a", "b; c"], ["d"], ["e"]]
+    assert shell.reads_only(["sed", "-n", "p"]) and not shell.reads_only(["sed", "-i", "p"])
     assert guards.parse_selector("Bash(command:git *, path:a\\,b)") == ("Bash", [("command", "git *"), ("path", "a,b")])
 
 
