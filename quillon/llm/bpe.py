@@ -4,10 +4,11 @@ Texts are cut at ASCII white space, which this tokenizer drops, so a word's ids
 neighbours. Every distinct word of the corpus is encoded once; ids come back by position:
 
 1. Spark splits texts into words. Scan tasks gather documents into blocks of about BLOCK_BYTES of words and
-   write each document as places in the block's list of distinct words, and the list itself, ordered by a
-   hash of the word; both packed. Texts do not move; this table is what later steps read.
-2. The lists are cut into buckets, ranges of the hash, of about BUCKET_WORDS words of all blocks. A bucket's
-   task encodes each distinct word once and answers each block with the ids of its words in their order.
+   give each document as places in the block's list of distinct words, and the list itself, ordered by a
+   hash of the word and cut into buckets, which are ranges of the hash; both packed. One exchange deals
+   documents by block and lists by bucket; texts themselves do not move.
+2. A bucket's task encodes each distinct word once and answers each block with the ids of its words in their
+   order.
 3. A block's answers in the order of buckets are its word table: documents take ids by place, and decoding
    takes pieces by id from the tokenizer's own table, a word at a time. Decoded words are joined with
    spaces, as this tokenizer has no decoder of its own.
@@ -36,14 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches, stored, text_or_empty
+from .common import read_table, small_batches, text_or_empty
 from .tokens import tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
 BLOCK_BYTES = 16 << 20
-#: Words of all blocks in a bucket, as long as a pack (a block's words in a bucket) keeps PACK_WORDS on average.
-BUCKET_WORDS = 500_000
-PACK_WORDS = 200
+#: Text for which there is a bucket, up to MOST_BUCKETS, so that a block's part of a bucket stays hundreds of words.
+BUCKET_BYTES = 16 << 20
+MOST_BUCKETS = 2048
 #: A bucket's words are remembered up to this number; beyond it some may be encoded again.
 KNOWN_WORDS = 2_000_000
 SPACE = r"[\x20\x09-\x0D]+"
@@ -85,12 +86,13 @@ def unpack_codes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-BLOCKS = "block long, doc_id long, codes binary, n_words long, words binary"
-_block_schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("n_words", pa.int64()), ("words", pa.binary())])
+#: Documents have their block; a part of a list has -1 - its bucket there, and its block in of_block.
+BLOCKS = "block long, of_block long, doc_id long, codes binary, words binary"
+_block_schema = pa.schema([("block", pa.int64()), ("of_block", pa.int64()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("words", pa.binary())])
 
 
-def _block_rows(block: int, parts: list[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """A row for each document, with its words as places, and one for the list of distinct words."""
+def _block_rows(block: int, parts: list[pa.RecordBatch], n_buckets: int, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """A row for each document, with its words as places, and one for each bucket of the list of distinct words."""
     lists = pa.chunked_array([p.column("words") for p in parts]).combine_chunks()
     encoded = lists.flatten().dictionary_encode()
     codes = encoded.indices.to_numpy()
@@ -109,12 +111,17 @@ def _block_rows(block: int, parts: list[pa.RecordBatch], rows: int = 4096) -> It
     doc_ids = pa.chunked_array([p.column("doc_id") for p in parts]).combine_chunks()
     for at in range(0, len(packed), rows):
         part = packed[at : at + rows]
-        yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), doc_ids.slice(at, rows), pa.array(part, pa.binary()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary())], schema=_block_schema)
-    words = pack_strings([distinct[i] for i in order])
-    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([len(order)], pa.int64()), pa.array([words], pa.binary())], schema=_block_schema)
+        yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.nulls(len(part), pa.int64()), doc_ids.slice(at, rows), pa.array(part, pa.binary()), pa.nulls(len(part), pa.binary())], schema=_block_schema)
+    if order:
+        words = [distinct[i] for i in order]
+        buckets = (np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1])))
+        cuts = [*first.tolist(), len(words)]
+        packs = [pack_strings(words[a:b]) for a, b in zip(cuts, cuts[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - buckets[first]), pa.array([block] * len(packs), pa.int64()), pa.nulls(len(packs), pa.int64()), pa.nulls(len(packs), pa.binary()), pa.array(packs, pa.binary())], schema=_block_schema)
 
 
-def _blocks(block_bytes: int):
+def _blocks(block_bytes: int, n_buckets: int):
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
         parts: list[pa.RecordBatch] = []
@@ -132,10 +139,10 @@ def _blocks(block_bytes: int):
                     size += int(sizes[upto] - sizes[at])
                     at = upto
                 if at < batch.num_rows or size >= block_bytes:
-                    yield from _block_rows(block, parts)
+                    yield from _block_rows(block, parts, n_buckets)
                     block, parts, size = block + 1, [], 0
         if parts:
-            yield from _block_rows(block, parts)
+            yield from _block_rows(block, parts, n_buckets)
 
     return blocks
 
@@ -163,34 +170,21 @@ def encode_words(words: list[str], tokenizer: str) -> list[np.ndarray]:
     return out
 
 
-def _packs_of_blocks(n_buckets: int):
-    """Each block's list cut into buckets: ranges of the hash that it is ordered by."""
+def _encode_buckets(tokenizer: str):
+    """Parts of lists, those of a bucket one after the other -> answers; documents are passed over."""
 
-    def packs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("words"), strict=True):
-                words = unpack_strings(data.as_py())
-                buckets = np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) * np.uint64(n_buckets) >> np.uint64(32)
-                first = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1]))) if len(words) else np.empty(0, np.int64)
-                cuts = [*first.tolist(), len(words)]
-                rows = [pack_strings(words[a:b]) for a, b in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array(buckets[first].astype(np.int32)), pa.array(rows, pa.binary())], names=["block", "bucket", "words"])
-
-    return packs
-
-
-def _encode_bucket(tokenizer: str):
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, bytes] = {}
         bucket_now = None
         for batch in batches:
-            for block, bucket, data in zip(*(batch.column(k) for k in range(3)), strict=True):
-                if bucket.as_py() != bucket_now or len(known) > KNOWN_WORDS:
-                    known, bucket_now = {}, bucket.as_py()
+            lists = batch.filter(pc.is_valid(batch.column("words")))
+            for bucket, block, data in zip(lists.column("block").to_pylist(), lists.column("of_block").to_pylist(), lists.column("words"), strict=True):
+                if bucket != bucket_now or len(known) > KNOWN_WORDS:
+                    known, bucket_now = {}, bucket
                 words = unpack_strings(data.as_py())
                 new = [w for w in words if w not in known]
                 known.update(zip(new, (x.tobytes() for x in encode_words([w.decode() for w in new], tokenizer)), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([bucket_now], pa.int32()), pa.array([pack_strings([known[w] for w in words])], pa.binary())], names=["of_block", "bucket", "word_ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1 - bucket], pa.int64()), pa.array([pack_strings([known[w] for w in words])], pa.binary())], names=["answered", "bucket", "word_ids"])
 
     return encode
 
@@ -210,6 +204,9 @@ def _join_back(tokenizer: str, with_output: bool):
     schema = pa.schema(list(zip(names, kinds, strict=True)))
 
     def join(documents: pa.Table, answers: pa.Table) -> pa.Table:
+        documents = documents.filter(pc.is_valid(documents.column("codes")))
+        if not len(documents):  # lists, which the other branch reads
+            return schema.empty_table()
         in_order = answers.take(np.argsort(answers.column("bucket").to_numpy())) if len(answers) else answers
         of_words = [w for data in in_order.column("word_ids") for w in unpack_strings(data.as_py())]
         lengths = np.fromiter(map(len, of_words), np.int64, len(of_words)) // 4
@@ -233,25 +230,21 @@ def _join_back(tokenizer: str, with_output: bool):
     return join
 
 
-def bucket_count(n_words: int, n_blocks: int) -> int:
-    return max(1, min(-(-n_words // BUCKET_WORDS), n_words // max(1, n_blocks) // PACK_WORDS))
-
-
 def encode_decode(docs: DataFrame, tokenizer: str = TOKENIZER, with_output: bool = False, block_bytes: int = BLOCK_BYTES, n_buckets: int | None = None) -> DataFrame:
     """doc_id, text -> doc_id, n_tokens and digests of ids and decoded text; with_output adds both
     themselves (ids as little-endian 32-bit integers)."""
-    small_batches(docs.sparkSession)
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(text_or_empty(), SPACE).alias("words"))
-    blocks = stored(split.mapInArrow(_blocks(block_bytes), BLOCKS), "bpe-blocks")
-    lists = blocks.where("words is not null")
-    size = lists.agg(F.sum("n_words").alias("n"), F.count(F.lit(1)).alias("blocks")).first()
-    n = n_buckets or bucket_count(size.n or 0, size.blocks)
-    packs = lists.select("block", "words").mapInArrow(_packs_of_blocks(n), "block long, bucket int, words binary")
-    by_bucket = packs.repartition(n, "bucket").sortWithinPartitions("bucket")
-    answers = by_bucket.mapInArrow(_encode_bucket(tokenizer), "of_block long, bucket int, word_ids binary")
-    documents = blocks.where("codes is not null").select("block", "doc_id", "codes")
+    spark = docs.sparkSession
+    small_batches(spark)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_buckets = n_buckets or min(MOST_BUCKETS, size // BUCKET_BYTES + 1)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * (size // BLOCK_BYTES))
+    blocks = texts.select("doc_id", F.split("text", SPACE).alias("words")).mapInArrow(_blocks(block_bytes, n_buckets), BLOCKS)
+    # all rows and columns go on in both branches: the exchange is then the same, and is made once
+    dealt = blocks.repartition(n, "block")
+    answers = dealt.sortWithinPartitions("block").mapInArrow(_encode_buckets(tokenizer), "answered long, bucket long, word_ids binary").repartition(n, "answered")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_output
-    return documents.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(_join_back(tokenizer, with_output), schema)
+    return dealt.groupBy("block").cogroup(answers.groupBy("answered")).applyInArrow(_join_back(tokenizer, with_output), schema)
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:
