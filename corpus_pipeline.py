@@ -1,6 +1,11 @@
 """A corpus pipeline of five stages over documents, each a call of one operator of quillon.llm.
 
 A stage gets what its predecessor kept and returns the columns of documents, but for the last one.
+
+Defined cases, of all stages: an empty table gives an empty one; other columns go along, whatever their names. Null, empty
+and blank texts fail the quality rules, and where a stage gets them by itself are not toxic, no duplicates, taken 0 times
+and without tokens. Null sources and languages are groups of their own. Rows that repeat an id are judged one by one by
+the first two stages; of those one stays as near duplicates; rows without an id stay.
 """
 
 from __future__ import annotations
@@ -40,7 +45,8 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [("quality rules", quality_stage), ("toxicity", toxicity_stage), ("near duplicates", near_stage), ("mixing", mix_stage), ("bpe", encode_stage)]
 
-#: SQL has no trained classifiers and no subword encoding; tests hold run() against brute force.
+#: SQL has no trained classifiers and no subword encoding; tests/llm/test_pipeline.py holds each stage, on what its
+#: predecessor kept, against a plain one.
 ORACLE_SQL = None
 
 

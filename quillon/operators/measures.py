@@ -57,9 +57,9 @@ def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
 
     exact = prices.select(F.col("model").alias("p_model"), F.col("read_price").alias("r1"), F.col("write_price").alias("w1"))
     base = prices.groupBy(model_base(F.col("model")).alias("p_base")).agg(F.max("read_price").alias("r2"), F.max("write_price").alias("w2"))
-    worst = prices.agg(F.max("read_price").alias("r3"), F.max("write_price").alias("w3"))
-    joined = usage.join(exact, F.col("model") == F.col("p_model"), "left").join(base, model_base(F.col("model")) == F.col("p_base"), "left").join(F.broadcast(worst), how="left")
-    return joined.select(*usage.columns, F.coalesce("r1", "r2", "r3").alias("read_price"), F.coalesce("w1", "w2", "w3").alias("write_price"))
+    worst = prices.agg(F.max("read_price"), F.max("write_price")).first()
+    joined = usage.join(exact, F.col("model") == F.col("p_model"), "left").join(base, model_base(F.col("model")) == F.col("p_base"), "left")
+    return joined.select(*usage.columns, F.coalesce("r1", "r2", F.lit(worst[0])).alias("read_price"), F.coalesce("w1", "w2", F.lit(worst[1])).alias("write_price"))
 
 
 def price_ratios(prices: DataFrame) -> DataFrame:
@@ -138,10 +138,11 @@ def leak_places(leaks: DataFrame) -> DataFrame:
 def retained(rows: DataFrame, kind: str, time: str, size: str, per_kind: int, max_age_days: int, total_bytes: int) -> DataFrame:
     """Retention: not older than some days, the newest of each kind, and the newest up to a total size.
 
-    The running total is over what is left of the counts per kind, so it is bounded by them.
+    The newest time is an aggregate. The running total is over what is left of the counts per kind, so it is bounded
+    by them.
     """
-    newest = F.max(time).over(Window.partitionBy(F.lit(1)))
-    fresh = rows.withColumn("newest", newest).where(F.col(time) >= F.col("newest") - F.expr(f"interval {max_age_days} days")).drop("newest")
+    newest = rows.agg(F.max(time)).first()[0]
+    fresh = rows.where(F.col(time) >= F.lit(newest) - F.expr(f"interval {max_age_days} days"))
     ranked = fresh.withColumn("rank", F.row_number().over(Window.partitionBy(kind).orderBy(F.col(time).desc(), size))).where(F.col("rank") <= per_kind)
     total = F.sum(size).over(Window.partitionBy(F.lit(1)).orderBy(F.col("rank"), F.col(time).desc(), kind).rowsBetween(Window.unboundedPreceding, 0))
     return ranked.withColumn("total", total).where(F.col("total") <= total_bytes).drop("rank", "total")
@@ -164,8 +165,9 @@ def snippet(text: Column, value: Column, reach: int = 100) -> Column:
 
 
 def plan_windows(headers: Column) -> Column:
-    """Headers (a map) -> used shares of the five-hour and seven-day plan windows, within 0 and 100."""
-    used = lambda k: F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.try_element_at(headers, F.lit(k)).cast("double") * 100))
+    """Headers (a map) -> used shares of the five-hour and seven-day plan windows, within 0 and 100; null where absent."""
+    share = lambda k: F.try_element_at(headers, F.lit(k)).cast("double") * 100
+    used = lambda k: F.when(share(k).isNotNull(), F.least(F.lit(100.0), F.greatest(F.lit(0.0), share(k))))
     return F.struct(used("anthropic-ratelimit-unified-5h-utilization").alias("five_hours"), used("anthropic-ratelimit-unified-7d-utilization").alias("seven_days"))
 
 

@@ -15,7 +15,10 @@ from quillon.functions.validators import validator
 
 
 #: Necessary conditions that many rules share.
-NEEDS = {"digits": r"[0-9][^A-Za-z]{0,8}[0-9][^A-Za-z]{0,8}[0-9]", "assignment": "[=:]"}
+NEEDS = {
+    "digits": r"[0-9][^A-Za-z]{0,8}[0-9][^A-Za-z]{0,8}[0-9]", "assignment": "[=:]", "run": "[A-Za-z0-9_-]{20}", "cjk": r"[\x{3040}-\x{9FFF}]",
+    "private-name": r"(?i)\.(?:internal|local|lan|corp|intra|home\.arpa)\b",
+}
 
 
 @dataclass(frozen=True)
@@ -217,8 +220,14 @@ ASSIGNMENT_RULES = frozenset(
 )
 
 
+OTHER_NEEDS = {
+    "run": ("aws-access-key", "github-pat", "notion-token", "square-access-token", "wif-private-key", "twilio-sid"), "cjk": ("pii-address-jp", "pii-address-cn"), "private-name": ("pii-internal-host",),
+}
+
+
 def _with_needs(rule: Rule) -> Rule:
-    return replace(rule, needs="digits" if rule.id in DIGIT_RULES else "assignment" if rule.id in ASSIGNMENT_RULES else "")
+    own = next((name for name, ids in OTHER_NEEDS.items() if rule.id in ids), "")
+    return replace(rule, needs="digits" if rule.id in DIGIT_RULES else "assignment" if rule.id in ASSIGNMENT_RULES else own)
 
 
 DEFAULT_RULES: tuple[Rule, ...] = tuple(_with_needs(r) for r in SECRET_RULES + PII_RULES)

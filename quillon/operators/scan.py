@@ -1,49 +1,51 @@
 """Detection: rules over a text column give findings, one row each, without Python code or a shuffle.
 
-regexp_extract_all gives the matches and split the gaps between them, so offsets are running sums; gates
-are expressions on the struct of a match. All rules are unrolled into one projection, with a cheap
-hint test before each pattern, and one explode makes rows: the text is read once.
+Two steps. The first reads a text once: one projection holds a condition for each rule (a cheap literal hint, then its
+pattern), so what goes on are the few pairs of a text and a rule that matches there. The second step is one expression
+for all rules, which takes pattern, group and gates from the rule's row: regexp_extract_all gives the matches and split
+the gaps between them, so offsets are running sums. The plan does not grow with the number of rules but for
+the conditions.
 Offsets are in code points, from 0, end exclusive.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.functions.validators import validator
 from quillon.operators.rules import NEEDS, Rule
 
-FINDING = "struct<rule_id:string,category:string,start:int,end:int,value:string,score:double>"
-
 
 def sql_text(v: str) -> str:
     """A string as an SQL literal."""
     return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def matches_sql(text: str, pattern: str, group: int = 0) -> str:
-    """array<struct<start,end,value>> of a pattern's matches in an SQL expression; of a group if one is named
-    (empty ones are left out). One fold over the matches and the gaps before them.
-
-    A label comes before its value, so a group's place is its last one in the match.
-    """
-    p = sql_text(pattern)
+def _matches_of(text: str, p: str, group: str, with_group: bool) -> str:
     whole = f"regexp_extract_all({text}, {p}, 0)"
-    value = f"regexp_extract_all({text}, {p}, {group})" if group else whole
+    value = f"regexp_extract_all({text}, {p}, {group})" if with_group else whole
     found = f"zip_with({whole}, {value}, (w, v) -> named_struct('w', w, 'v', v))"
     pairs = f"zip_with(slice(split({text}, {p}, -1), 1, size({whole})), {found}, (g, f) -> named_struct('g', coalesce(length(g), 0), 'w', f.w, 'v', f.v))"
-    inside = "length(x.w) - length(substring_index(x.w, x.v, -1)) - length(x.v)" if group else "0"
+    inside = "length(x.w) - length(substring_index(x.w, x.v, -1)) - length(x.v)" if with_group else "0"
     start = f"acc.at + x.g + {inside}"
     one = f"array(named_struct('start', {start}, 'end', {start} + length(x.v), 'value', x.v))"
     empty = "cast(array() as array<struct<start:int,end:int,value:string>>)"
     return f"aggregate({pairs}, named_struct('at', 0, 'out', {empty}), (acc, x) -> named_struct('at', acc.at + x.g + length(x.w), 'out', concat(acc.out, if(length(x.v) > 0, {one}, {empty}))), acc -> acc.out)"
 
 
+def matches_sql(text: str, pattern: str, group: int = 0) -> str:
+    """array<struct<start,end,value>> of a pattern's matches in an SQL expression; of a group if one is named
+    (empty ones are left out). One fold over the matches and the gaps before them.
+
+    A label comes before its value, so a group's place is its last one in the match.
+    """
+    return _matches_of(text, sql_text(pattern), str(group), bool(group))
+
+
 def matches(text: str, pattern: str, group: int = 0) -> Column:
     return F.expr(matches_sql(text, pattern, group))
 
@@ -51,23 +53,24 @@ def matches(text: str, pattern: str, group: int = 0) -> Column:
 def near_words(text: Column, m: Column, window: int) -> Column:
     """Lower-case words within window * 8 characters on either side of a match."""
     reach = window * 8
-    before = F.substring(text, F.greatest(m["start"] - reach, F.lit(0)) + 1, F.least(m["start"], F.lit(reach)))
-    after = F.substring(text, m["end"] + 1, F.lit(reach))
-    return T.context_tokens(F.concat(before, F.lit(" "), after))
+    return T.context_tokens(_around(text, m, reach))
+
+
+def _around(text: Column, m: Column, reach: Column | int) -> Column:
+    before = F.substring(text, F.greatest(m["start"] - reach, F.lit(0)) + 1, F.least(m["start"], reach if isinstance(reach, Column) else F.lit(reach)))
+    return F.concat(before, F.lit(" "), F.substring(text, m["end"] + 1, reach if isinstance(reach, Column) else F.lit(reach)))
+
+
+def near_any(text: Column, m: Column, words: Column, window: Column) -> Column:
+    """Whether one of an array of words is near a match: those of ASCII letters as whole words, others as part of
+    the text. False for no words."""
+    around = _around(text, m, window * 8)
+    ascii_words, others = F.filter(words, lambda w: w.rlike(r"^[\x00-\x7F]*$")), F.filter(words, lambda w: ~w.rlike(r"^[\x00-\x7F]*$"))
+    return F.coalesce(F.arrays_overlap(T.context_tokens(around), ascii_words), F.lit(False)) | F.exists(others, lambda w: F.contains(F.lower(around), w))
 
 
 def has_near_word(text: Column, m: Column, words: tuple[str, ...], window: int) -> Column:
-    """Words of ASCII letters as whole words, others as part of the text."""
-    ascii_words = [w for w in words if w.isascii()]
-    others = [w for w in words if not w.isascii()]
-    reach = window * 8
-    around = F.lower(F.concat(F.substring(text, F.greatest(m["start"] - reach, F.lit(0)) + 1, F.least(m["start"], F.lit(reach))), F.lit(" "), F.substring(text, m["end"] + 1, F.lit(reach))))
-    out = F.lit(False)
-    if ascii_words:
-        out = out | F.arrays_overlap(near_words(text, m, window), F.array(*[F.lit(w) for w in ascii_words]))
-    for w in others:
-        out = out | F.contains(around, F.lit(w))
-    return out
+    return near_any(text, m, F.array(*[F.lit(w) for w in words]).cast("array<string>"), F.lit(window))
 
 
 def shaped_as_secret(value: Column, number: bool = False) -> Column:
@@ -76,49 +79,59 @@ def shaped_as_secret(value: Column, number: bool = False) -> Column:
     return ~T.is_placeholder(value) & shaped & ~T.is_code_identifier(value) & ~value.rlike(r"\(.*\)|^\w+\[|=>")
 
 
-def _need(name: str) -> str:
-    return f"__needs_{name}"
-
-
-def with_needs(rows: DataFrame, text: str) -> DataFrame:
-    """Adds what rule_findings() asks of a text before it tries patterns that share a condition."""
-    return rows.withColumns({_need(k): F.col(text).rlike(v) for k, v in NEEDS.items()})
-
-
-def rule_findings(name: str, rule: Rule) -> Column:
-    """array<FINDING> of one rule in the column of that name. Gates run in the order shape, entropy, validator,
-    context. Rules without gates are one SQL expression, as Column objects are slow to build by the hundred."""
-    quoted, text = f"`{name}`", F.col(name)
-    found = matches_sql(quoted, rule.pattern, rule.group)
-    gates = []
-    if rule.category == "secret" and rule.group:
-        gates.append(lambda m: shaped_as_secret(m["value"], rule.validator in ("literal-password", "literal-credential")))
-    if rule.min_entropy:
-        gates.append(lambda m: T.entropy(m["value"]) >= rule.min_entropy)
-    if rule.validator:
-        gates.append(lambda m: validator(rule.validator)(m["value"]))
-    if rule.context and rule.required:
-        gates.append(lambda m: has_near_word(text, m, rule.context, rule.window))
-    if rule.excluded:
-        gates.append(lambda m: ~has_near_word(text, m, rule.excluded, rule.window))
-    long = f"filter({found}, m -> length(m.value) >= {3 if rule.category == 'pii' else 1})"
-    row = f"m -> named_struct('rule_id', {sql_text(rule.id)}, 'category', '{rule.category}', 'start', m.start, 'end', m.end, 'value', m.value, 'score', cast(1 as double))"
-    rows = F.expr(f"transform({long}, {row})")
-    if gates:
-        rows = F.filter(rows, lambda m: functools.reduce(lambda a, b: a & b, [g(m) for g in gates]))
-    if rule.context and not rule.required:
-        rows = F.transform(rows, lambda m: m.withField("score", F.when(has_near_word(text, m, rule.context, rule.window), 1.0).otherwise(0.4)))
-    worth = f"contains({quoted}, {sql_text(rule.hint)})" if rule.hint else f"{quoted} rlike {sql_text(rule.pattern)}"
-    if rule.needs:
-        worth = f"`{_need(rule.needs)}` and {worth}"
-    return F.when(F.expr(worth), rows).otherwise(F.expr(f"cast(array() as array<{FINDING}>)"))
+RULE = "k int, rule_id string, category string, pattern string, grp int, min_entropy double, validator string, context array<string>, required boolean, excluded array<string>, near int"
+
+
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """A row per rule, numbered: what the second step reads. As small as the list of rules that a user wrote."""
+    rows = [(k, r.id, r.category, r.pattern, r.group, float(r.min_entropy), r.validator, list(r.context), r.required, list(r.excluded), r.window) for k, r in enumerate(rules)]
+    return spark.createDataFrame(rows, RULE)
+
+
+def matching_rules(text: str, rules: list[Rule]) -> Column:
+    """array<int>: the numbers of the rules whose patterns match a text. Conditions that rules share, and literal
+    hints, come before patterns."""
+    def condition(r: Rule) -> str:
+        tests = [f"contains({text}, {sql_text(r.hint)})"] if r.hint else []
+        return " and ".join([*tests, f"{text} rlike {sql_text(r.pattern)}"])
+
+    def numbered(group: list[int]) -> str:
+        return "array_compact(array(" + ", ".join(f"if({condition(rules[k])}, {k}, null)" for k in group) + "))"
+
+    parts = []
+    for name in ["", *NEEDS]:
+        if group := [k for k, r in enumerate(rules) if r.needs == name]:
+            parts.append(f"if({text} rlike {sql_text(NEEDS[name])}, {numbered(group)}, cast(array() as array<int>))" if name else numbered(group))
+    return F.expr(f"concat({', '.join(parts)})" if parts else "cast(array() as array<int>)")
+
+
+def _gates(text: Column, m: Column, rules: list[Rule]) -> Column:
+    """Shape, entropy, validator and context, in this order, as the rule's row asks for them."""
+    value = m["value"]
+    number = F.col("validator").isin("literal-password", "literal-credential")
+    shaped = F.when((F.col("category") == "secret") & (F.col("grp") > 0), F.when(number, shaped_as_secret(value, True)).otherwise(shaped_as_secret(value))).otherwise(True)
+    valid = F.when(F.col("validator") == "", F.lit(True))
+    for name in sorted({r.validator for r in rules} - {""}):
+        valid = valid.when(F.col("validator") == name, validator(name)(value))
+    entropic = F.when(F.col("min_entropy") > 0, T.entropy(value) >= F.col("min_entropy")).otherwise(True)
+    near = F.when((F.size("context") > 0) & F.col("required"), near_any(text, m, F.col("context"), F.col("near"))).otherwise(True)
+    far = F.when(F.size("excluded") > 0, ~near_any(text, m, F.col("excluded"), F.col("near"))).otherwise(True)
+    long = F.length(value) >= F.when(F.col("category") == "pii", 3).otherwise(1)
+    return long & shaped & entropic & valid & near & far
 
 
 def scan(rows: DataFrame, rules: Iterable[Rule], text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keys, text -> keys and one row per finding."""
-    found = [rule_findings(text, r) for r in rules]
-    per_text = with_needs(rows.where(F.col(text).isNotNull()), text).select(*keys, F.explode(F.flatten(F.array(*found))).alias("finding"))
-    return per_text.select(*keys, "finding.*")
+    rules = list(rules)
+    names = [f"key_{n}" for n in range(len(keys))]  # keys may be called as a rule's columns are
+    own = rows.where(F.col(text).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(text).alias("scanned"))
+    pairs = own.select("*", F.explode(matching_rules("scanned", rules)).alias("k")).join(F.broadcast(rule_table(rows.sparkSession, rules)), "k")
+    found = F.expr(f"if(grp > 0, {_matches_of('scanned', 'pattern', 'grp', True)}, {_matches_of('scanned', 'pattern', '0', False)})")
+    scanned = F.col("scanned")
+    passed = F.filter(found, lambda m: _gates(scanned, m, rules))  # before rows are made of matches, as a row carries its text
+    weak = lambda m: (F.size("context") > 0) & ~F.col("required") & ~near_any(scanned, m, F.col("context"), F.col("near"))
+    scored = F.transform(passed, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), F.when(weak(m), 0.4).otherwise(1.0).alias("score")))
+    return pairs.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "rule_id", "category", F.explode(scored).alias("m")).select(*keys, "rule_id", "category", "m.*")
 
 
 def scan_once(rows: DataFrame, rules: Iterable[Rule], text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -123,11 +123,19 @@ def ambiguous(pairs: DataFrame) -> DataFrame:
 def numbered_tokens(findings: DataFrame, order: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
     """category, value, token: tokens numbered within a category in the order of first appearance.
 
-    First places are aggregated first, so only distinct values are ordered.
+    First places are aggregated first, so only distinct values are ordered. They are dealt out by ranges of (category,
+    place); a value's number is its place in its range and what the ranges before hold of its category.
     """
+    from quillon.session import stored
+
     first = findings.groupBy("category", "value").agg(F.min(F.struct(*order)).alias("first"))
-    n = F.row_number().over(Window.partitionBy("category").orderBy("first", "value"))
-    return first.select("category", "value", F.concat(F.lit("["), F.upper("category"), F.lit("_"), n.cast("string"), F.lit("]")).alias("token"))
+    ranged = stored(first.repartitionByRange("category", "first", "value").withColumn("cell", F.spark_partition_id()), "token-cells")
+    held = ranged.groupBy("category", "cell").agg(F.count(F.lit(1)).alias("held"))
+    before = F.sum("held").over(Window.partitionBy("category").orderBy("cell")) - F.col("held")  # a row per range
+    within = F.row_number().over(Window.partitionBy("category", "cell").orderBy("first", "value"))
+    placed = ranged.withColumn("within", within).join(F.broadcast(held.select("category", "cell", before.alias("before"))), ["category", "cell"])
+    n = F.col("within") + F.col("before")
+    return placed.select("category", "value", F.concat(F.lit("["), F.upper("category"), F.lit("_"), n.cast("string"), F.lit("]")).alias("token"))
 
 
 #: A text as tokens and what is between them: escapes of JSON, white space, words without marks at their ends, marks.

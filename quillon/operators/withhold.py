@@ -91,7 +91,7 @@ def mark_boundaries(items: DataFrame, wanted: DataFrame, key: str = "conv_id", o
 
 def title_ask(prompt: Column) -> Column:
     """Which request for a name a prompt is; null for others."""
-    return F.when(prompt.rlike(r"(?i)\b(?:write|generate|give|create) (?:a|an?) (?:\w+[ ,]){0,4}title\b"), "title").when(prompt.rlike(r"(?i)\bname (?:for )?(?:this|the) (?:branch|session|conversation)\b"), "name")
+    return F.when(prompt.rlike(r"(?i)\b(?:write|generate|give|create) (?:a|an?) (?:\w+[ ,]+){0,4}title\b"), "title").when(prompt.rlike(r"(?i)\bname (?:for )?(?:this|the) (?:branch|session|conversation)\b"), "name")
 
 
 def title_from(reply: Column) -> Column:

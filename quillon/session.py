@@ -19,9 +19,12 @@ def session(app: str = "quillon", **settings: str) -> SparkSession:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, or below a local folder where that is unset."""
+    """A new path below spark.checkpoint.dir. Where that is unset a local session gets a folder of its own; a
+    cluster's executors could not see it, so there this raises."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not (master := spark.sparkContext.master).startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="quillon-"))
         base = _own[0]
