@@ -37,13 +37,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches, text_or_empty
+from .common import give_back, read_table, small_batches, text_or_empty
 from .tokens import tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Text for which there is a bucket, up to MOST_BUCKETS, so that a block's part of a bucket stays hundreds of words.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 MOST_BUCKETS = 2048
 #: A bucket's words are remembered up to this number; beyond it some may be encoded again.
 KNOWN_WORDS = 2_000_000
@@ -141,8 +141,11 @@ def _blocks(block_bytes: int, n_buckets: int):
                 if at < batch.num_rows or size >= block_bytes:
                     yield from _block_rows(block, parts, n_buckets)
                     block, parts, size = block + 1, [], 0
+                    give_back()
         if parts:
             yield from _block_rows(block, parts, n_buckets)
+        del parts
+        give_back()
 
     return blocks
 
@@ -185,6 +188,8 @@ def _encode_buckets(tokenizer: str):
                 new = [w for w in words if w not in known]
                 known.update(zip(new, (x.tobytes() for x in encode_words([w.decode() for w in new], tokenizer)), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1 - bucket], pa.int64()), pa.array([pack_strings([known[w] for w in words])], pa.binary())], names=["answered", "bucket", "word_ids"])
+        del known
+        give_back()
 
     return encode
 
@@ -225,6 +230,8 @@ def _join_back(tokenizer: str, with_output: bool):
             row = (total, hashlib.sha256(encoded).hexdigest(), hashlib.sha256(plain).hexdigest())
             rows.append((*row, encoded, plain.decode()) if with_output else row)
         columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds[1:])]
+        del rows, of_words, decoded, flat, first, lengths, in_order
+        give_back()
         return pa.Table.from_arrays([documents.column("doc_id"), *columns], schema=schema)
 
     return join

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -92,6 +95,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "1000")
 
 
+def give_back() -> None:
+    """Return freed memory to the system. A worker lives on after its task, and what it once held would count
+    against the tasks of later steps."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every system has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, mixed, read_table, small_batches, stored, window_hashes, word_hashes
+from .common import batches_of, give_back, mixed, read_table, small_batches, stored, window_hashes, word_hashes
 
 WIDTH = 5
 PERCENT = 75
@@ -94,6 +94,7 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(band_keys(shingles) if len(shingles) else None)
             slots.append(slot_flags(shingles) if len(shingles) else None)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(slots, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "print", "bands", "slots"])
+    give_back()
 
 
 def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,6 +111,7 @@ def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shared.append(both)
             total.append(len(own) + len(other) - both)
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "shared", "total"])
+    give_back()
 
 
 def _common_flags(x: str, y: str):
@@ -122,6 +124,7 @@ def _explode_shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
         sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
         nodes = np.repeat(batch.column("node").to_numpy(), [len(s) for s in sets])
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], names=["node", "shingle"])
+    give_back()
 
 
 def own_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:

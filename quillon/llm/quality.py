@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, dropped, looked_up, read_table, small_batches, stored
+from .common import batches_of, dropped, give_back, looked_up, read_table, small_batches, stored
 from .textstats import BASE, statistics
 
 MIN_WORDS = 20
@@ -85,6 +85,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         for batch in batches_of(batches, 1024):
             rows = np.array([statistics(t, more=False) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, len(BASE))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "lang", "source")), *(pa.array(rows[:, k]) for k in range(len(BASE)))], names=["doc_id", "lang", "source", *BASE])
+        give_back()
 
     columns = [F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string")]
     return docs.select(*columns).mapInArrow(count, "doc_id long, lang string, source string, " + ", ".join(f"{b} long" for b in BASE))
@@ -98,6 +99,7 @@ def with_statistics(docs: DataFrame, prefix: str) -> DataFrame:
         for batch in batches_of(batches, 1024):
             rows = np.array([statistics(t, more=False) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, len(BASE))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(rows[:, k]) for k in range(len(BASE)))], names=[*batch.schema.names, *(prefix + b for b in BASE)])
+        give_back()
 
     return docs.mapInArrow(count, schema)
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, read_table, small_batches
+from .common import batches_of, give_back, read_table, small_batches
 from .labelled import fold_of, training_texts
 
 MODULUS, HELD_OUT = 4, 2
@@ -286,6 +286,8 @@ def _fit_sample(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sample = pd.concat(parts)
         sample = sample.assign(text=sample["text"].fillna("")).sort_values(["doc_id", "text"]).drop_duplicates()
         model = fit(sample["text"].tolist(), sample["y"].tolist())
+        del parts, sample
+        give_back()
         yield pd.DataFrame({"weight": [model.weight.tobytes()], "bias": [model.bias], "scale": [model.scale.tolist()]})
 
 
@@ -309,6 +311,8 @@ def _scores(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[tuple[p
         if new := sorted(set().union(*documents).difference(known)):
             known.update(zip(new, model.words(new).tolist(), strict=True))
         yield batch, model.probability(np.array([highest_words([known[w] for w in words]) for words in documents]).reshape(-1, 2))
+    known.clear()
+    give_back()
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
