@@ -107,9 +107,12 @@ SECRET_RULES = (
     _secret("databricks-token", rf"{_B}dapi[0-9a-f]{{32}}(?:-\d)?{_E}", "Databricks token", "dapi"),
     _secret("vault-token", rf"{_B}hv[sbr]\.[\w-]{{24,}}", "Vault token", "hv"),
     _secret("shopify-token", rf"{_B}shp(?:at|ca|pa|ss)_[0-9a-fA-F]{{32}}{_E}", "Shopify token", "shp"),
-    _secret("doppler-token", rf"{_B}dp\.(?:pt|st|ct|sa|scim|audit)\.[A-Za-z0-9._-]{{40,}}", "Doppler token", "dp."),
+    # by the vendor's list of token kinds: a service token names its configuration, and service account identities have their own
+    _secret("doppler-token", rf"{_B}dp\.(?:(?:audit|ct|pt|sa|said|scim)|st(?:\.[a-z0-9_-]{{2,35}})?)\.[A-Za-z0-9]{{40,44}}{_E}", "Doppler token", "dp."),
     _secret("grafana-token", rf"{_B}gl(?:c_[A-Za-z0-9+/=]{{32,}}|sa_[A-Za-z0-9]{{32}}_[0-9a-f]{{8}})", "Grafana token", "gl"),
-    _secret("notion-token", rf"{_B}(?:ntn_[A-Za-z0-9]{{40,}}|secret_[A-Za-z0-9]{{43}}){_E}", "Notion token"),
+    # by the vendor's changelog: integration secrets got a new prefix, older ones stay valid
+    _secret("notion-token", rf"{_B}ntn_[A-Za-z0-9]{{43,50}}{_E}", "Notion integration token", "ntn_"),
+    _secret("notion-secret", rf"{_B}secret_[A-Za-z0-9]{{43}}{_E}", "Notion integration secret", "secret_"),
     _secret("google-oauth", rf"{_B}ya29\.[\w-]{{20,}}", "Google OAuth token", "ya29."),
     _secret("google-oauth-secret", rf"{_B}GOCSPX-[\w-]{{28}}(?![\w-])", "Google OAuth client secret", "GOCSPX-"),
     _secret("docker-hub-pat", rf"{_B}dckr_pat_[\w-]{{27}}(?![\w-])", "Docker Hub token", "dckr_pat_"),
@@ -221,7 +224,7 @@ ASSIGNMENT_RULES = frozenset(
 
 
 OTHER_NEEDS = {
-    "run": ("aws-access-key", "github-pat", "notion-token", "square-access-token", "wif-private-key", "twilio-sid"), "cjk": ("pii-address-jp", "pii-address-cn"), "private-name": ("pii-internal-host",),
+    "run": ("aws-access-key", "github-pat", "square-access-token", "wif-private-key", "twilio-sid"), "cjk": ("pii-address-jp", "pii-address-cn"), "private-name": ("pii-internal-host",),
 }
 
 

@@ -337,3 +337,18 @@ def test_small_predicates(spark):
     assert one(spark, guards.spelled_out, "printf '\\\\x41\\\\x42\\\\x43' %44%45%46 0x47, 0x48, 0x49 \\\\101\\\\102\\\\103") == [["ABC", "DEF", "GHI", "ABC"]]
     assert one(spark, T.is_prose_assignment, "the password is kept in the vault of the team", "hunter22x") == [True, False]
     assert one(spark, hidden.reveal, "a​​b") == ["a[hidden characters]b"]
+
+
+def test_vendor_tokens(spark):
+    a43 = "Ab1" * 14 + "x"
+    texts = [f"dp.st.dev_main.{a43}", f"dp.said.{a43}", f"dp.zz.{a43}", f"ntn_{a43}", f"secret_{a43}", f"secret_{a43}y", "dp.pt.short"]
+    rows = spark.createDataFrame(list(enumerate(texts)), LINES)
+    found = scan.scan(rows, [r for r in rules.DEFAULT_RULES if r.id in ("doppler-token", "notion-token", "notion-secret")]).collect()
+    assert sorted((r.doc_id, r.rule_id) for r in found) == [(0, "doppler-token"), (1, "doppler-token"), (3, "notion-token"), (4, "notion-secret")]
+
+
+def test_scan_takes_keys_named_as_its_own_columns(spark):
+    rows = spark.createDataFrame([(1, 2, "zip 12345"), (3, 4, None), (5, 6, "")], "pattern long, k long, text string")
+    got = scan.scan(rows, [rules.Rule("r", "pii", "[0-9]{5}")], keys=("pattern", "k")).collect()
+    assert [(r.pattern, r.k, r.value) for r in got] == [(1, 2, "12345")]
+    assert scan.scan(rows, [], keys=("k",)).count() == 0 and scan.scan(rows.limit(0), rules.DEFAULT_RULES, keys=("k",)).count() == 0
