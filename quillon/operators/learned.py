@@ -57,8 +57,9 @@ def keep_newest(learned: DataFrame, most: int = KEPT) -> DataFrame:
 def _spans(texts: DataFrame, shapes: DataFrame, text: str, keys: tuple[str, ...]) -> DataFrame:
     """keys, start, end, found and the columns of shapes: spans of a text with as many word runs and as long from
     first to last as a shape says. shapes: runs, core, lead, length, ..."""
-    lengths = shapes.select(F.col("runs").alias("r")).distinct()
-    listed = texts.select(*keys, text, scan.matches(text, RUN).alias("m")).join(lengths, F.size("m") >= F.col("r"))
+    lengths = sorted(r.runs for r in shapes.select("runs").distinct().collect())  # a few small numbers, however many values there are
+    listed = texts.select(*keys, scan.matches(text, RUN).alias("m"))
+    listed = listed.select(*keys, "m", F.explode(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.size("m"))).alias("r"))
     at = listed.select(*keys, F.col("r").alias("runs"), F.explode(F.transform(F.sequence(F.lit(1), F.size("m") - F.col("r") + 1), lambda i: F.struct(F.element_at("m", i)["start"].alias("a"), F.element_at("m", i + F.col("r") - 1)["end"].alias("b")))).alias("x"))
     cores = at.select(*keys, "runs", F.col("x.a").alias("a"), (F.col("x.b") - F.col("x.a")).alias("core"))
     met = cores.join(shapes, ["runs", "core"]).withColumn("start", F.col("a") - F.col("lead")).where("start >= 0")
