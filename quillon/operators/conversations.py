@@ -6,6 +6,9 @@ by turn.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,19 +122,27 @@ def cutoffs(items: DataFrame, step: int = 10, keep: int = 10, least: int = 30_00
     """conv_id, turns: one entry per assistant turn with the cutoff then, which never moves back and moves
     only when the text beyond the present one is large enough.
 
-    A fold: each cutoff depends on the one before. Per conversation, over its own turns.
+    A fold: each cutoff depends on the one before. A conversation's turns are sorted and streamed through it, so
+    that the work grows with their number and none is held.
     """
-    sized = sizes(items)
-    listed = sized.where("role = 'assistant'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("assistant_turn", F.col("tokens").alias("tokens")))).alias("turns"))
-    start = F.struct(F.lit(0).cast("long").alias("cutoff"), F.lit(0).cast("long").alias("since"), F.array().cast("array<long>").alias("all"))
-
-    def fold(acc: Column, t: Column) -> Column:
-        since = acc["since"] + t["tokens"]
-        due = F.when(since >= least, F.greatest(acc["cutoff"], (F.floor((t["assistant_turn"] - keep) / step) * step).cast("long"))).otherwise(acc["cutoff"])
-        moved = due > acc["cutoff"]
-        return F.struct(due.alias("cutoff"), F.when(moved, 0).otherwise(since).cast("long").alias("since"), F.concat(acc["all"], F.array(due)).alias("all"))
-
-    return listed.select("conv_id", F.posexplode(F.aggregate("turns", start, fold, lambda acc: acc["all"])).alias("n", "cutoff"))
+    sized = sizes(items).where("role = 'assistant'").select("conv_id", "assistant_turn", "tokens")
+    in_order = sized.repartition("conv_id").sortWithinPartitions("conv_id", "assistant_turn", "tokens")
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n, cutoff, since = None, -1, 0, 0
+        for batch in batches:
+            places, out = [], []
+            for conv, turn, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if n < 0 or conv != last:
+                    last, n, cutoff, since = conv, -1, 0, 0
+                n, since = n + 1, since + tokens
+                if since >= least and (due := (turn - keep) // step * step) > cutoff:
+                    cutoff, since = due, 0
+                places.append(n)
+                out.append(cutoff)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.int32()), pa.array(out, pa.int64())], names=["conv_id", "n", "cutoff"])
+
+    return in_order.mapInArrow(fold, f"conv_id {in_order.schema['conv_id'].dataType.simpleString()}, n int, cutoff long")
 
 
 def pays(gain: Column, suffix: Column, read: Column, write: Column, horizon: int = 10) -> Column:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import compaction, documents, guards, hidden, learned, records, rules, scan, settings, shell, spans, standins
+from quillon.operators import compaction, conversations, documents, guards, hidden, learned, records, rules, scan, settings, shell, spans, standins
 from quillon.sources import wire
 from quillon.streaming import rewriters
 
@@ -352,3 +352,20 @@ def test_scan_takes_keys_named_as_its_own_columns(spark):
     got = scan.scan(rows, [rules.Rule("r", "pii", "[0-9]{5}")], keys=("pattern", "k")).collect()
     assert [(r.pattern, r.k, r.value) for r in got] == [(1, 2, "12345")]
     assert scan.scan(rows, [], keys=("k",)).count() == 0 and scan.scan(rows.limit(0), rules.DEFAULT_RULES, keys=("k",)).count() == 0
+
+
+def test_cutoffs_of_a_long_conversation(spark):
+    sized = {1: [(k * 7919) % 90 for k in range(12_000)], 2: [0, 60, 3], 3: []}
+    items = [(c, k, "assistant", "x" * 4 * s) for c, of in sized.items() for k, s in enumerate(of)] + [(3, 0, "user", "x")]
+    want = set()
+    for c, of in sized.items():
+        cutoff = since = 0
+        for n, s in enumerate(of):
+            since += s
+            if since >= 50 and (due := (n + 1 - 10) // 10 * 10) > cutoff:
+                cutoff, since = due, 0
+            want.add((c, n, cutoff))
+    rows = spark.createDataFrame(items, "conv_id long, turn long, role string, text string")
+    # the fold's steps are a plan of rows: an array that grows by a turn at a time was copied with each
+    assert "aggregate(" not in conversations.cutoffs(rows, least=50)._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in conversations.cutoffs(rows, least=50).collect()} == want
