@@ -186,8 +186,10 @@ def prefix_digests(items: DataFrame) -> DataFrame:
 def first_change(a: Column, b: Column) -> Column:
     """Index of the first difference of two arrays; the shorter length if one continues the other; null if equal."""
     n = F.least(F.size(a), F.size(b))
-    same = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: ~F.get(a, i).eqNullSafe(F.get(b, i)) & (i < n))
-    return F.when(F.size(same) > 0, F.get(same, F.lit(0))).when(F.size(a) != F.size(b), n)
+    # item by item at once: an index into a or b would work them out again for each item where they are no columns
+    differs = F.zip_with(F.coalesce(a, F.array()), F.coalesce(b, F.array()), lambda x, y: ~x.eqNullSafe(y))
+    at = F.array_position(differs, True).cast("int")
+    return F.when(at > 0, F.least(at - 1, n)).when(F.size(a) != F.size(b), n)
 
 
 def valid_requests(items: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,41 +35,50 @@ def without_markers(body: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(body, r",\s*" + field, ""), field + r"\s*,?", "")
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _listed(holder: Column, *names: str) -> Column:
     """The JSON texts of the items of the first of the fields that an object has; a string is one item.
 
     Within a string quotes are escaped, so `"name": [` stands for a field that holds an array.
     """
-    value = F.coalesce(*[F.get_json_object(holder, f"$.{n}") for n in names])
     is_array = holder.rlike('"(?:' + "|".join(names) + r')"\s*:\s*\[')
-    return F.when(is_array, F.from_json(value, "array<string>")).when(value.isNotNull(), F.array(value)).otherwise(F.array().cast("array<string>"))
+    found = F.coalesce(*[F.get_json_object(holder, f"$.{n}") for n in names])
+    return _once(found, lambda value: F.when(is_array, F.from_json(value, "array<string>")).when(value.isNotNull(), F.array(value)).otherwise(F.array().cast("array<string>")))
 
 
 def prompt_blocks(body: Column) -> Column:
     """array<struct<at,text>>: tools, system prompts, then each message's blocks, without markers."""
-    plain = without_markers(body)
 
-    def of_field(k: str) -> Column:
+    def of_field(plain: Column, k: str) -> Column:
         return F.transform(_listed(plain, k), lambda x, i: F.struct(F.concat(F.lit(k + "["), i.cast("string"), F.lit("]")).alias("at"), x.alias("text")))
 
-    top = [of_field(k) for k in ("tools", "system", "instructions", "systemInstruction")]
-    messages = _listed(plain, "messages", "input", "contents")
-
     def of_message(m: Column, i: Column) -> Column:
         content = F.coalesce(F.get_json_object(m, "$.content"), F.get_json_object(m, "$.parts"))
         name = F.concat(F.lit("m"), i.cast("string"))
         inner = F.transform(_listed(m, "content", "parts"), lambda x, j: F.struct(F.concat(name, F.lit("["), j.cast("string"), F.lit("]")).alias("at"), x.alias("text")))
         return F.when(content.isNull(), F.array(F.struct(name.alias("at"), m.alias("text")))).otherwise(inner)
 
-    return F.concat(*top, F.flatten(F.transform(messages, of_message)))
+    def of_body(plain: Column) -> Column:
+        top = [of_field(plain, k) for k in ("tools", "system", "instructions", "systemInstruction")]
+        return F.concat(*top, F.flatten(F.transform(_listed(plain, "messages", "input", "contents"), of_message)))
+
+    return _once(without_markers(body), of_body)
 
 
 def first_changed_block(previous: Column, missed: Column, start: int = 200) -> Column:
     """struct<index,previous,missed>: the first prompt block that two bodies do not share; null where they share all."""
-    a, b = prompt_blocks(previous), prompt_blocks(missed)
     side = lambda blocks, at: F.when(at < F.size(blocks), F.struct(F.get(blocks, at)["at"].alias("at"), F.left(F.get(blocks, at)["text"], F.lit(start)).alias("start")))
-    at = first_change(F.transform(a, lambda x: x["text"]), F.transform(b, lambda x: x["text"]))
-    return F.when(at.isNotNull(), F.struct(at.alias("index"), side(a, at).alias("previous"), side(b, at).alias("missed")))
+
+    def of_blocks(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        changed = first_change(F.transform(a, lambda y: y["text"]), F.transform(b, lambda y: y["text"]))
+        return _once(changed, lambda at: F.when(at.isNotNull(), F.struct(at.alias("index"), side(a, at).alias("previous"), side(b, at).alias("missed"))))
+
+    return _once(F.struct(prompt_blocks(previous).alias("a"), prompt_blocks(missed).alias("b")), of_blocks)
 
 
 def miss_meta(misses: DataFrame, reach: int = 300) -> DataFrame:

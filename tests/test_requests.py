@@ -369,3 +369,23 @@ def test_cutoffs_of_a_long_conversation(spark):
     # the fold's steps are a plan of rows: an array that grows by a turn at a time was copied with each
     assert "aggregate(" not in conversations.cutoffs(rows, least=50)._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in conversations.cutoffs(rows, least=50).collect()} == want
+
+
+def test_first_changed_block_works_its_blocks_out_once(spark):
+    texts = [f"text {k} " + "w" * (k % 5) for k in range(200)]
+    body = lambda all: json.dumps({"system": "s", "messages": [{"role": "user", "content": t} for t in all]})
+    cases = [(texts, texts), (texts, [*texts[:150], "x", *texts[151:]]), (texts, texts[:120]), ([], texts[:1])]
+    rows = spark.createDataFrame([(k, body(a), body(b)) for k, (a, b) in enumerate(cases)], "id long, previous string, missed string")
+    found = rows.select("id", records.first_changed_block(F.col("previous"), F.col("missed"), 7).alias("f"))
+    side = lambda k, of: (f"m{k}[0]", of[k][:7]) if k < len(of) else None
+    got = {r.id: r.f and (r.f["index"], r.f.previous and tuple(r.f.previous), r.f.missed and tuple(r.f.missed)) for r in found.collect()}
+    assert got == {0: None} | {i: (k + 1, side(k, cases[i][0]), side(k, cases[i][1])) for i, k in ((1, 150), (2, 120), (3, 0))}
+    # before, a body was parsed anew for each item compared: its name stood within the lambda over the items
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("missed#") <= 6, plan.count("missed#")
+
+
+def test_first_change_of_nulls(spark):
+    rows = [(["a", "b"], ["a", "c"]), (["a"], ["a", "b"]), (["a", None], ["a"]), (["a"], ["a", None, "b"]), ([None], [None]), ([None], ["a"]), ([], []), (None, ["a"]), (None, None)]
+    found = spark.createDataFrame(rows, "a array<string>, b array<string>").select(conversations.first_change(F.col("a"), F.col("b")))
+    assert [r[0] for r in found.collect()] == [1, 1, 1, 1, None, 0, None, 0, None]
