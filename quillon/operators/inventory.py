@@ -49,13 +49,15 @@ def network_names(files: DataFrame) -> DataFrame:
     return _found(files, "ssid", r"(?m)^\s*(?:ssid|SSID)\s*=\s*\"?([^\"\n]+)")
 
 
-def infrastructure(hosts: DataFrame, per_source: int = 100) -> DataFrame:
-    """Hosts without public ones, with their short names, at most so many of a source."""
+def infrastructure(hosts: DataFrame, per_source: int | None = 100) -> DataFrame:
+    """Hosts without public ones, with their short names, at most so many of a source; None for all."""
     own = hosts.where(~F.lower("literal").isin(*PUBLIC_HOSTS)).select("source", "kind", F.lower("literal").alias("literal")).distinct()
     short = own.where(F.contains("literal", F.lit(".")) & ~F.col("literal").rlike("^[0-9.]+$")).select("source", "kind", F.substring_index("literal", ".", 1).alias("literal"))
-    ranked = own.union(short.where(F.length("literal") >= 4)).distinct()
+    found = own.union(short.where(F.length("literal") >= 4)).distinct()
+    if per_source is None:
+        return found
     nth = F.row_number().over(Window.partitionBy("source").orderBy("literal"))
-    return ranked.withColumn("nth", nth).where(F.col("nth") <= per_source).drop("nth")
+    return found.withColumn("nth", nth).where(F.col("nth") <= per_source).drop("nth")
 
 
 def merged(old: DataFrame, new: DataFrame, most: int = 1000) -> DataFrame:

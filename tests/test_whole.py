@@ -48,3 +48,9 @@ def test_known_value_search_finds_marked_and_short_passages(spark, tmp_path):
     documents = [{"doc_id": k, "text": t} for k, t in enumerate(texts)]
     got = sorted((r.item_id, r.doc_id) for r in catalogue.QUERIES["known_value_search"](spark, folder(tmp_path, benchmark=benchmark, documents=documents)).collect())
     assert got == [(i, d) for i, p in enumerate(passages) for d, t in enumerate(texts) if p in t]
+
+
+def test_infrastructure_hosts_has_no_cap_on_a_source(spark, tmp_path):
+    supplier = [{"s_suppkey": k, "s_name": f"Supplier#{k:09d}", "s_nationkey": k % 2} for k in range(1_400)]
+    got = sorted(tuple(r) for r in catalogue.QUERIES["infrastructure_hosts"](spark, folder(tmp_path, supplier=supplier)).collect())
+    assert got == sorted((f"n{k % 2}", "host", f"supplier-{k:09d}{end}") for k in range(1_400) for end in ("", ".corp"))
