@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def entropy(v: Column) -> Column:
     """Shannon entropy in bits per character, over code points; 0 for the empty text."""
     characters = F.filter(F.split(v, ""), lambda c: c != "")

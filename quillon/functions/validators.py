@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillon.functions.text import once
+
 Predicate = Callable[[Column], Column]
 
 # Published test card numbers.
@@ -143,31 +145,43 @@ def reserved_ipv4(v: Column) -> Column:
 
 def ipv6_groups(v: Column) -> Column:
     """The eight groups as lower-case hexadecimal without leading zeros; null where v is no address."""
+    part = lambda halves, k: F.filter(F.split(F.coalesce(F.get(halves, F.lit(k)), F.lit("")), ":"), lambda g: g != "")
+    sound = lambda plain: plain.rlike("^[0-9a-f:]+$") & ~plain.rlike(":::|^:[^:]|[^:]:$")
+
+    def filled(left: Column, right: Column, n_halves: Column) -> Column:
+        missing = 8 - F.size(left) - F.size(right)
+        return F.when(n_halves == 2, F.when(missing >= 1, F.concat(left, F.array_repeat(F.lit("0"), missing.cast("int")), right))).when((n_halves == 1) & (F.size(left) == 8), left)
+
+    def shown(groups: Column) -> Column:
+        return F.when(F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.transform(groups, lambda g: F.regexp_replace(g, "^0+(?=.)", "")))
+
+    def of_halves(halves: Column) -> Column:
+        return once(F.struct(part(halves, 0).alias("left"), part(halves, 1).alias("right"), F.size(halves).alias("n")), lambda x: once(filled(x["left"], x["right"], x["n"]), shown))
+
     plain = F.lower(F.regexp_replace(F.regexp_replace(v, "%.*$", ""), r"/\d+$", ""))
-    halves = F.split(plain, "::")
-    part = lambda k: F.filter(F.split(F.coalesce(F.get(halves, F.lit(k)), F.lit("")), ":"), lambda g: g != "")
-    left, right = part(0), part(1)
-    missing = 8 - F.size(left) - F.size(right)
-    filled = F.when(F.size(halves) == 2, F.when(missing >= 1, F.concat(left, F.array_repeat(F.lit("0"), missing.cast("int")), right))).when(F.size(left) == 8, left)
-    sound = plain.rlike("^[0-9a-f:]+$") & (F.size(halves) <= 2) & ~plain.rlike(":::|^:[^:]|[^:]:$") & F.forall(filled, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    return F.when(sound, F.transform(filled, lambda g: F.regexp_replace(g, "^0+(?=.)", "")))
+    return once(plain, lambda p: F.when(sound(p), once(F.split(p, "::"), of_halves)))
 
 
-def _group(v: Column, i: int) -> Column:
-    return F.conv(F.get(ipv6_groups(v), F.lit(i)), 16, 10).cast("int")
+def _number(groups: Column, i: int) -> Column:
+    return F.conv(F.get(groups, F.lit(i)), 16, 10).cast("int")
 
 
 def private_ipv6(v: Column) -> Column:
     """Link-local or unique-local, and more than a bare prefix."""
-    first, rest = _group(v, 0), F.slice(ipv6_groups(v), 2, 7)
-    local = first.between(0xFE80, 0xFEBF) | first.between(0xFC00, 0xFDFF)
-    return _sure(local & F.exists(rest, lambda g: g != "0"), v)
+
+    def local(groups: Column) -> Column:
+        first, rest = _number(groups, 0), F.slice(groups, 2, 7)
+        return (first.between(0xFE80, 0xFEBF) | first.between(0xFC00, 0xFDFF)) & F.exists(rest, lambda g: g != "0")
+
+    return _sure(once(ipv6_groups(v), local), v)
 
 
 def reserved_ipv6(v: Column) -> Column:
-    first, second = _group(v, 0), _group(v, 1)
-    special = ~first.between(0x2000, 0x3FFF) | ((first == 0x2001) & second.isin(0x0DB8, 0, 0x10)) | first.between(0x3FFF, 0x3FFF)
-    return F.when(v.isNull(), F.lit(None)).otherwise(F.coalesce(special, F.lit(True)))
+    def special(groups: Column) -> Column:
+        first, second = _number(groups, 0), _number(groups, 1)
+        return ~first.between(0x2000, 0x3FFF) | ((first == 0x2001) & second.isin(0x0DB8, 0, 0x10)) | first.between(0x3FFF, 0x3FFF)
+
+    return F.when(v.isNull(), F.lit(None)).otherwise(F.coalesce(once(ipv6_groups(v), special), F.lit(True)))
 
 
 def japanese_phone(v: Column) -> Column:

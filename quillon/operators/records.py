@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.text import once
 from quillon.operators.conversations import first_change
 
 # cache misses
@@ -35,11 +36,6 @@ def without_markers(body: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(body, r",\s*" + field, ""), field + r"\s*,?", "")
 
 
-def _once(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with the value worked out once however often it is used."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def _listed(holder: Column, *names: str) -> Column:
     """The JSON texts of the items of the first of the fields that an object has; a string is one item.
 
@@ -47,7 +43,7 @@ def _listed(holder: Column, *names: str) -> Column:
     """
     is_array = holder.rlike('"(?:' + "|".join(names) + r')"\s*:\s*\[')
     found = F.coalesce(*[F.get_json_object(holder, f"$.{n}") for n in names])
-    return _once(found, lambda value: F.when(is_array, F.from_json(value, "array<string>")).when(value.isNotNull(), F.array(value)).otherwise(F.array().cast("array<string>")))
+    return once(found, lambda value: F.when(is_array, F.from_json(value, "array<string>")).when(value.isNotNull(), F.array(value)).otherwise(F.array().cast("array<string>")))
 
 
 def prompt_blocks(body: Column) -> Column:
@@ -66,7 +62,7 @@ def prompt_blocks(body: Column) -> Column:
         top = [of_field(plain, k) for k in ("tools", "system", "instructions", "systemInstruction")]
         return F.concat(*top, F.flatten(F.transform(_listed(plain, "messages", "input", "contents"), of_message)))
 
-    return _once(without_markers(body), of_body)
+    return once(without_markers(body), of_body)
 
 
 def first_changed_block(previous: Column, missed: Column, start: int = 200) -> Column:
@@ -76,9 +72,9 @@ def first_changed_block(previous: Column, missed: Column, start: int = 200) -> C
     def of_blocks(x: Column) -> Column:
         a, b = x["a"], x["b"]
         changed = first_change(F.transform(a, lambda y: y["text"]), F.transform(b, lambda y: y["text"]))
-        return _once(changed, lambda at: F.when(at.isNotNull(), F.struct(at.alias("index"), side(a, at).alias("previous"), side(b, at).alias("missed"))))
+        return once(changed, lambda at: F.when(at.isNotNull(), F.struct(at.alias("index"), side(a, at).alias("previous"), side(b, at).alias("missed"))))
 
-    return _once(F.struct(prompt_blocks(previous).alias("a"), prompt_blocks(missed).alias("b")), of_blocks)
+    return once(F.struct(prompt_blocks(previous).alias("a"), prompt_blocks(missed).alias("b")), of_blocks)
 
 
 def miss_meta(misses: DataFrame, reach: int = 300) -> DataFrame:

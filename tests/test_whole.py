@@ -54,3 +54,10 @@ def test_infrastructure_hosts_has_no_cap_on_a_source(spark, tmp_path):
     supplier = [{"s_suppkey": k, "s_name": f"Supplier#{k:09d}", "s_nationkey": k % 2} for k in range(1_400)]
     got = sorted(tuple(r) for r in catalogue.QUERIES["infrastructure_hosts"](spark, folder(tmp_path, supplier=supplier)).collect())
     assert got == sorted((f"n{k % 2}", "host", f"supplier-{k:09d}{end}") for k in range(1_400) for end in ("", ".corp"))
+
+
+def test_ipv6_addresses_of_numbers_beyond_a_group(spark, tmp_path):
+    keys = [0, 1, 0xFFFF, 0x10000, 0x10001, 900_000, 0x1234_0000, 0xABCDE_0F00F, 0x7FFF_0000_0000_FFFF]
+    customer = [{"c_custkey": k, "c_nationkey": n % 25} for n, k in enumerate(keys)]
+    got = {r.c_custkey: (r.groups, r.reserved, r.is_private) for r in catalogue.QUERIES["ipv6_addresses"](spark, folder(tmp_path, customer=customer)).collect()}
+    assert got == {k: (f"2a02:8070:{k:x}:0:0:0:0:{n % 25 + 1:x}", False, True) for n, k in enumerate(keys)}
