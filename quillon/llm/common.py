@@ -47,6 +47,10 @@ def _place(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+#: Bytes of a row group of a stored table, which a task holds until it is full.
+ROW_GROUP = 16 << 20
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage, and a lost executor loses nothing.
 
@@ -54,7 +58,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     place, system = _place(spark, path)
     system.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
@@ -87,12 +91,17 @@ def looked_up(rows: DataFrame, small: DataFrame, keys: list[str], limit: int = B
     return rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(salted, [*keys, "__salt"]).drop("__salt")
 
 
+#: Spark's defaults, and what small_batches() sets instead of them.
+SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.files.maxPartitionBytes": ("134217728b", "16m")}
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 1,000 rows where the session has Spark's default of 10,000: texts may be long, and a batch
-    is held by the JVM and by a worker at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "1000")
+    """Arrow batches of 1,000 rows and tasks of 16 MB of a file where the session has Spark's defaults of 10,000 and 128 MB:
+    texts may be long, a batch is held by the JVM and by a worker at once, and what a task reads it may write, which is
+    held until a row group is full."""
+    for key, (default, small) in SMALL.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, small)
 
 
 def give_back() -> None:
